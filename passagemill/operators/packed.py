@@ -26,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.functions.text import strip_all
+
 #: Separators known to the dialects. A slash separates only with blanks around it or, as a dialect of its own, without.
 SEPARATORS = (",", ";", "|", "\t", "\n", "•", "，", "、", " / ", "/")
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "`": "`"}
 #: Bits for a letter of an unknown value, for a separator or quote inside one, to escape to one, and to name a separator.
 LETTER_BITS, MARK_BITS, ESCAPE_BITS, SEPARATOR_BITS = 4.5, 14.0, 5.0, 4.0
 _MARKS = set(",;|\t\n•，、\"“”„«»")
+#: Bits that each separator or quote inside a known value costs.
+KNOWN_MARK_BITS = 10.0
 #: Cells with more kinds of separator than this get nested dialects (one separator added at a time) instead of all subsets.
 MOST_SUBSETS = 5
 
@@ -153,8 +157,13 @@ def parse_named(cell: str, name: str) -> list[str]:
     return parse(cell, frozenset(SEPARATORS[int(x)] for x in name[1:]), name[0] == "q")
 
 
+def marks(value: str) -> int:
+    """Separators and quotes inside a value; a slash counts if it stands between blanks."""
+    return sum(c in _MARKS for c in value) + value.count(" / ")
+
+
 def unknown_bits(value: str) -> float:
-    return ESCAPE_BITS + sum(MARK_BITS if c in _MARKS else LETTER_BITS for c in value)
+    return ESCAPE_BITS + LETTER_BITS * len(value) + (MARK_BITS - LETTER_BITS) * marks(value)
 
 
 def _batches(it):
@@ -214,7 +223,7 @@ def _expand(it):
                     own[v] = own.get(v, 0.0) + copies / len(found)
             for name, values in found:
                 base = SEPARATOR_BITS * (len(name) - 1) + (name[0] == "q")
-                rows += [(key, name, len(values), base, v, unknown_bits(v), own[v]) for v in values] or [(key, name, 0, base, "", 0.0, 0.0)]
+                rows += [(key, name, len(values), base, v, unknown_bits(v), own[v], marks(v)) for v in values] or [(key, name, 0, base, "", 0.0, 0.0, 0)]
             if len(rows) >= 8192:
                 yield _expanded(rows)
                 rows = []
@@ -222,9 +231,9 @@ def _expand(it):
 
 
 def _expanded(rows):
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    types = pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.float64()
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["cell_key", "dialect", "n", "base", "value", "unknown", "own"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    types = pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["cell_key", "dialect", "n", "base", "value", "unknown", "own", "marks"])
 
 
 def _finish(it):
@@ -246,13 +255,13 @@ def unpack(df: DataFrame, id_col: str, cell_col: str) -> DataFrame:
     unsure = first.where("kind = 1").select("id", "cell")
     counts = first.where("kind = 2").groupBy("value").agg(F.sum("weight").alias("weight"))
     total = first.where("kind = 2").agg(F.sum("weight")).first()[0] or 1.0
-    folded = unsure.withColumn("folded", F.lower("cell"))
+    folded = unsure.withColumn("folded", F.lower(strip_all(F.col("cell"))))
     keyed = folded.withColumn("cell_key", F.xxhash64("folded"))
     distinct = keyed.groupBy("folded").agg(F.first("cell_key").alias("cell_key"), F.count(F.lit(1)).alias("copies"))
-    spread = distinct.select("folded", "cell_key", "copies").mapInArrow(_expand, "cell_key long, dialect string, n int, base double, value string, unknown double, own double")
+    spread = distinct.select("folded", "cell_key", "copies").mapInArrow(_expand, "cell_key long, dialect string, n int, base double, value string, unknown double, own double, marks int")
     # what copies of the cell itself add to a value's count says nothing about the value
     others = F.col("weight") - F.col("own")
-    known = F.when(others >= 0.2, F.least(-F.log2(others / F.lit(float(total))), F.col("unknown"))).otherwise(F.col("unknown"))
+    known = F.when(others >= 0.2, F.least(-F.log2(others / F.lit(float(total))) + F.col("marks") * KNOWN_MARK_BITS, F.col("unknown"))).otherwise(F.col("unknown"))
     cost = spread.join(counts, "value", "left").groupBy("cell_key", "dialect").agg((F.first("base") + F.sum(known)).alias("bits"), F.first("n").alias("n"))
     best = cost.groupBy("cell_key").agg(F.min_by("dialect", F.struct(F.round("bits", 6), -F.col("n"), "dialect")).alias("dialect"))
     chosen = keyed.join(best, "cell_key").select("id", "cell", "dialect").mapInArrow(_finish, "id long, pos int, value string")
