@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagemill.llm import copies
+from passagemill.llm import copies, survivors
 from passagemill.runtime import table
 
 QUERIES: dict = {}
@@ -60,3 +60,14 @@ def p2_records(spark, d):
     """One record for each group of copies of ``pairs``, with the number of copies."""
     members = copies.collapse_copies(table(spark, d, "pairs"), "pair_id", ["question", "source"])
     return members.where(F.col("pair_id") == F.col("first_id")).select("first_id", "copies")
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return survivors.survivors_found(table(spark, d, "pairs"), table(spark, d, "pair_files"))
+
+
+@query("p4_survivors")
+def p4_survivors(spark, d):
+    """The surviving record itself, with cluster and split by currency reasoning."""
+    return survivors.survivors(table(spark, d, "pairs"), table(spark, d, "pair_files"))
