@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagemill.llm import copies, survivors
-from passagemill.runtime import table
+from passagemill.llm import copies, splits, survivors
+from passagemill.runtime import settle, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -71,3 +71,28 @@ def p4_found(spark, d):
 def p4_survivors(spark, d):
     """The surviving record itself, with cluster and split by currency reasoning."""
     return survivors.survivors(table(spark, d, "pairs"), table(spark, d, "pair_files"))
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    rows = splits.grouped_split(table(spark, d, "pairs"))
+    return rows.where("group_rows > 1 and root_source is not null").select(F.col("root_source").alias("group_source_id"), "pair_id")
+
+
+@query("p1_split")
+def p1_split(spark, d):
+    """Every row with its split."""
+    return splits.grouped_split(table(spark, d, "pairs")).select("pair_id", "split")
+
+
+@query("p1_shares")
+def p1_shares(spark, d):
+    """Rows and share of each split, overall (NULL label) and per cluster."""
+    rows = splits.grouped_split(table(spark, d, "pairs"))
+    counts = rows.rollup("label", "split").agg(F.count(F.lit(1)).alias("n"), F.grouping("label").alias("overall"), F.grouping("split").alias("all_splits"))
+    counts = settle(counts)
+    whole = counts.where("all_splits = 1 and overall = 0").select("label", F.col("n").alias("of")).unionByName(counts.where("overall = 1").select(F.lit("*").alias("label"), F.col("n").alias("of")))
+    by = counts.where("all_splits = 0 and overall = 0").select("label", "split", "n")
+    every = by.groupBy("split").agg(F.sum("n").alias("n")).select(F.lit("*").alias("label"), "split", "n")
+    named = by.unionByName(every).withColumn("k", F.coalesce("label", F.lit("null")))
+    return named.join(whole.select(F.coalesce("label", F.lit("null")).alias("k"), "of"), "k").select(F.col("k").alias("cluster"), "split", "n", F.round(F.col("n") / F.col("of"), 4).alias("share"))
