@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagemill.llm import copies, splits, survivors
+from passagemill.llm import copies, neighbours, splits, survivors
 from passagemill.runtime import settle, table
 
 QUERIES: dict = {}
@@ -96,3 +96,25 @@ def p1_shares(spark, d):
     every = by.groupBy("split").agg(F.sum("n").alias("n")).select(F.lit("*").alias("label"), "split", "n")
     named = by.unionByName(every).withColumn("k", F.coalesce("label", F.lit("null")))
     return named.join(whole.select(F.coalesce("label", F.lit("null")).alias("k"), "of"), "k").select(F.col("k").alias("cluster"), "split", "n", F.round(F.col("n") / F.col("of"), 4).alias("share"))
+
+
+def _entity_vectors(spark, d):
+    return neighbours.unit_vectors(table(spark, d, "entity_embs"), "vec_id", "embedding")
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return neighbours.similar_pairs(_entity_vectors(spark, d))
+
+
+@query("p7_nearest")
+def p7_nearest(spark, d):
+    """The five most similar others of every usable vector."""
+    return neighbours.nearest(_entity_vectors(spark, d)).select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), F.round("sim", 6).alias("cosine"), "rank")
+
+
+@query("p7_search")
+def p7_search(spark, d):
+    """The five most similar of every vector whose id is divisible by 50, by greedy graph search."""
+    v = settle(_entity_vectors(spark, d))
+    return neighbours.greedy_search(v, v.where("id % 50 = 0")).select("query_id", F.col("other").alias("other_id"), F.round("sim", 6).alias("cosine"), "rank")
