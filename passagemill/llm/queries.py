@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from passagemill.llm import copies, neighbours, splits, survivors
+from passagemill.llm import clusters, copies, neighbours, splits, survivors
 from passagemill.runtime import settle, table
 
 QUERIES: dict = {}
@@ -118,3 +119,29 @@ def p7_search(spark, d):
     """The five most similar of every vector whose id is divisible by 50, by greedy graph search."""
     v = settle(_entity_vectors(spark, d))
     return neighbours.greedy_search(v, v.where("id % 50 = 0")).select("query_id", F.col("other").alias("other_id"), F.round("sim", 6).alias("cosine"), "rank")
+
+
+def _keyword_groups(spark, d):
+    return clusters.cluster(neighbours.unit_vectors(table(spark, d, "keywords"), "keyword_id", "embedding"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    g = _keyword_groups(spark, d)
+    return g.where("id <> g").select(F.col("g").alias("first_keyword_id"), F.col("id").alias("keyword_id"))
+
+
+@query("p5_groups")
+def p5_groups(spark, d):
+    """Each group's size, most typical keywords, and the older cluster whose centroid is nearest to the group's members."""
+    g = settle(_keyword_groups(spark, d))
+    words = table(spark, d, "keywords").select("keyword_id", F.trim("keyword").alias("keyword"))
+    described = clusters.describe(g, words, "keyword_id", "keyword")
+    old = neighbours.unit_vectors(table(spark, d, "clusters"), "cluster_id", "centroid").collect()  # a fixed table of 24 rows
+    ids = np.array([r["id"] for r in old], np.int64)
+    if not len(ids):
+        return described.select(F.col("g").alias("first_keyword_id"), "size", "typical", F.lit(None).cast("long").alias("old_cluster_id"), F.lit(None).cast("double").alias("old_share"))
+    near = clusters.nearest_of(g, ids, neighbours.matrix([r["vec"] for r in old])).join(g.select("id", F.col("g").alias("grp")), "id")
+    votes = near.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("grp").agg(F.max_by("g", F.struct("n", -F.col("g"))).alias("old_cluster_id"), (F.max("n") / F.sum("n")).alias("old_share"))
+    return described.join(best.withColumnRenamed("grp", "g"), "g").select(F.col("g").alias("first_keyword_id"), "size", "typical", "old_cluster_id", F.round("old_share", 4).alias("old_share"))
