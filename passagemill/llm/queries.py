@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from passagemill.llm import clusters, copies, neighbours, splits, survivors
+from passagemill.llm import clusters, copies, mixing, neighbours, packing, splits, survivors, tokens
 from passagemill.runtime import settle, table
 
 QUERIES: dict = {}
@@ -145,3 +145,38 @@ def p5_groups(spark, d):
     votes = near.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("grp").agg(F.max_by("g", F.struct("n", -F.col("g"))).alias("old_cluster_id"), (F.max("n") / F.sum("n")).alias("old_share"))
     return described.join(best.withColumnRenamed("grp", "g"), "g").select(F.col("g").alias("first_keyword_id"), "size", "typical", "old_cluster_id", F.round("old_share", 4).alias("old_share"))
+
+
+@query("p8_pack")
+def p8_pack(spark, d):
+    """Every piece of every text with its container of 2,048 tokens."""
+    sized = settle(tokens.count_tokens(table(spark, d, "documents"), "text", ["doc_id"]))
+    return packing.pack(sized, "doc_id", "n_tokens")
+
+
+@query("p8_fill")
+def p8_fill(spark, d):
+    """Containers, their fill, and the number of texts cut."""
+    packed = settle(p8_pack(spark, d))
+    boxes = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("items"))
+    return boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum((F.col("used") == 2048).cast("int")).alias("full"), F.round(F.sum("used") / (F.count(F.lit(1)) * 2048), 6).alias("fill"))
+
+
+@query("p9_mix")
+def p9_mix(spark, d):
+    """The texts of the largest mixture in which every source has its weight, with the copies taken of each."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query("p9_shares")
+def p9_shares(spark, d):
+    """Shares reached by :func:`p9_mix`."""
+    return mixing.reached(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_filled")
+def p9_filled(spark, d):
+    """Shares reached when the mixture has to be twice as large as the largest exact one: sources are clamped, their excess is shared out."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    exact = mixing.budgets(settle(mixing.distinct_texts(docs, targets)), targets, None)
+    return mixing.reached(docs, targets, total=2 * sum(x[4] for x in exact))
