@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from passagemill.llm import clusters, copies, mixing, neighbours, packing, splits, survivors, tokens
+from passagemill.llm import abuse, clusters, copies, mixing, neighbours, packing, splits, survivors, tokens
 from passagemill.runtime import settle, table
 
 QUERIES: dict = {}
@@ -180,3 +180,20 @@ def p9_filled(spark, d):
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     exact = mixing.budgets(settle(mixing.distinct_texts(docs, targets)), targets, None)
     return mixing.reached(docs, targets, total=2 * sum(x[4] for x in exact))
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return abuse.flagged(table(spark, d, "documents"), table(spark, d, "labels")).select("doc_id")
+
+
+@query("p10_scores")
+def p10_scores(spark, d):
+    """Every document's score."""
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "labels")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("p10_rates")
+def p10_rates(spark, d):
+    """Documents, flagged documents and rate of each source."""
+    return abuse.rates(table(spark, d, "documents"), table(spark, d, "labels"))
