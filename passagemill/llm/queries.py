@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from passagemill.llm import abuse, clusters, copies, mixing, neighbours, packing, splits, survivors, tokens
+from passagemill.llm import abuse, clusters, copies, mixing, neighbours, overlap, packing, splits, survivors, tokens
 from passagemill.runtime import settle, table
 
 QUERIES: dict = {}
@@ -197,3 +197,14 @@ def p10_scores(spark, d):
 def p10_rates(spark, d):
     """Documents, flagged documents and rate of each source."""
     return abuse.rates(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return overlap.found(table(spark, d, "pairs"))
+
+
+@query("p6_report")
+def p6_report(spark, d):
+    """Leaked evaluation rows and matching pairs per split and source."""
+    return overlap.report(table(spark, d, "pairs"))
