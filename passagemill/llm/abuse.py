@@ -305,13 +305,13 @@ def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """Weights and bias, trained in one task on at most ``sample`` documents of each class."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi and lo in (0, 1)").select("doc_id", F.col("lo").alias("mark"))
     chosen = marks.where("mark = 1").orderBy(F.xxhash64("doc_id")).limit(sample).unionByName(marks.where("mark = 0").orderBy(F.xxhash64("doc_id")).limit(sample))
-    rows = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "mark")
+    rows = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "mark", F.lit(0).alias("one"))
 
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
         m = train(pdf["text"].tolist(), [int(x) for x in pdf["mark"]])
         return pd.DataFrame({"w": [m.w.tobytes()], "b": [m.b]}) if m else pd.DataFrame({"w": pd.Series([], dtype=object), "b": pd.Series([], dtype=float)})
 
-    got = rows.groupBy(F.lit(0)).applyInPandas(learn, "w binary, b double").collect()
+    got = rows.groupBy("one").applyInPandas(learn, "w binary, b double").collect()
     return (bytes(got[0]["w"]), got[0]["b"]) if got else None
 
 
