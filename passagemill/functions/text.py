@@ -44,3 +44,15 @@ def is_empty_text(c: Column) -> Column:
     """Falsy, blank, or ``nan`` (P4 as an ASCII predicate with an exact SQL twin)."""
     t = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\f\x0b"))
     return (t == "") | (F.lower(t) == "nan")
+
+
+def chunks(c: Column, words: int = 200) -> Column:
+    """Pieces of at most ``words`` words; line breaks are removed first, words are split at single blanks."""
+    parts = F.split(F.replace(c, F.lit("\n"), F.lit("")), " ")
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(parts, i * words + 1, words), " "))
+
+
+def sentences(c: Column) -> Column:
+    """Sentences: split after ``.``, ``!`` or ``?`` and blanks before a capital letter (S3)."""
+    ws = F.lit(" \t\n\r\f\x0b")
+    return F.filter(F.transform(F.split(F.btrim(c, ws), r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.btrim(x, ws)), lambda x: x != "")
