@@ -1,25 +1,8 @@
-"""Registered queries of the core, each with its SQL twin where SQL can express it."""
+"""Registered queries of the core, gathered from its query modules."""
 
 from __future__ import annotations
 
-from passagemill.operators.packed import packed_values
-from passagemill.runtime import table
+from passagemill.plans import assign_queries, base, ingest_queries, numeric_queries, training_queries
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query("p3_found")
-def p3_found(spark, d):
-    rows = packed_values(table(spark, d, "pairs"), "pair_id", "keywords", least=2)
-    return rows.select("pair_id", "pos", rows["value"].alias("keyword"))
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
+__all__ = ["ORACLES", "QUERIES", "assign_queries", "ingest_queries", "numeric_queries", "training_queries"]
