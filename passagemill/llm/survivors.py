@@ -38,6 +38,10 @@ STAND_IN_PHRASES = r"(?i)^[\[(<{ ]*(error\s*:|traceback|exception\s*:|no answer
 LEAST_QUESTIONS, LEAST_SHARE = 5, 0.0005
 
 
+#: Columns of the pair table that are read.
+FIELDS = ("pair_id", "question", "source", "answer", "relevance_score", "keywords", "file_name", "updated_at", "cluster_id", "_split_tag")
+
+
 def _folded(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
@@ -59,7 +63,8 @@ def real_answer(answer: Column, is_shared: Column) -> Column:
 
 def _ranked(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """The rows of the groups with what each rule compares."""
-    members = settle(repeated_rows(pairs, "pair_id", ["question", "source"]).select("pair_id", "first_id", "copies"))
+    pairs = pairs.select(*FIELDS)  # columns of other names, whatever they are, take no part
+    members = settle(repeated_rows(pairs, "pair_id", ["question", "source"]).groupBy("pair_id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies")))
     shared = shared_answers(pairs).withColumn("shared", F.lit(True))
     cells = unpack(pairs, "pair_id", "keywords").join(members.select("pair_id"), "pair_id", "left_semi")
     rich = cells.groupBy("pair_id").agg(F.countDistinct(F.lower("value")).alias("n_keywords"))
@@ -130,7 +135,7 @@ def survivors(pairs: DataFrame, files: DataFrame) -> DataFrame:
         _winner("relevance_score", "score_rank").alias("relevance_score"),
         _winner("keywords", "keywords_rank").alias("keywords"),
     )
-    fields = pairs.select("pair_id", F.col("cluster_id"), split_name(F.col("_split_tag")).alias("split"), F.col("updated_at").alias("at")).join(ranked.select("pair_id", "first_id"), "pair_id")
+    fields = pairs.select(*FIELDS).select("pair_id", F.col("cluster_id"), split_name(F.col("_split_tag")).alias("split"), F.col("updated_at").alias("at")).join(ranked.select("pair_id", "first_id"), "pair_id")
     fields = settle(fields)
     for f in ("cluster_id", "split"):
         chosen = chosen.join(current_values(fields, "first_id", f, "at"), "first_id", "left")
