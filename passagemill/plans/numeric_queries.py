@@ -103,3 +103,30 @@ def a19_epoch_means(spark, d):
     """Mean of batch means."""
     b = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 8).alias("batch")).agg(F.avg("value").alias("m"))
     return b.groupBy(F.col("event_type").alias("epoch")).agg(F.round(F.avg("m"), 6).alias("mean_of_batches"))
+
+
+@query("s_windowed_counts", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def s_windowed_counts(spark, d):
+    """Hourly counts, as the stream operator gives them for a table."""
+    from passagemill.streaming.incremental import windowed_counts
+
+    w = windowed_counts(table(spark, d, "events"))
+    return w.select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("s_stream")
+def s_stream(spark, d):
+    """Keywords enriched by a file stream that is started twice; the second run finds nothing new."""
+    import uuid
+
+    from passagemill.operators.enrich import stub_model
+    from passagemill.runtime import shared_dir
+    from passagemill.streaming.incremental import enrich_stream
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    local = base.removeprefix("file://")
+    k = table(spark, d, "keywords").select("keyword_id", "keyword")
+    k.repartition(6).write.parquet(f"{base}/in")
+    for _ in range(2):
+        enrich_stream(spark, f"{base}/in", "keyword_id long, keyword string", f"{local}/out", f"{base}/state", "keyword_id", "keyword", stub_model)
+    return spark.read.parquet(f"{local}/out").select("keyword_id", "result")
