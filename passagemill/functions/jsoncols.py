@@ -77,7 +77,7 @@ def last_wins(keys: Column, values: Column) -> Column:
     """JSON object from parallel lists; of a repeated key the last value stays."""
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     n = F.size(keys)
-    kept = F.filter(F.transform(pairs, lambda p, i: F.struct(p["0"].alias("k"), p["1"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, n), lambda k: k == p["k"]))
+    kept = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, n), lambda k: k == p["k"]))
     return F.to_json(F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"]))))
 
 

@@ -130,3 +130,51 @@ def s_stream(spark, d):
     for _ in range(2):
         enrich_stream(spark, f"{base}/in", "keyword_id long, keyword string", f"{local}/out", f"{base}/state", "keyword_id", "keyword", stub_model)
     return spark.read.parquet(f"{local}/out").select("keyword_id", "result")
+
+
+@query("x6_routing_ce", _SOFT + " SELECT round(avg(l), 5) AS loss FROM (SELECT vec_id, -sum((CASE WHEN own = cluster_id THEN 0.9 ELSE 0 END + 0.01) * ln(greatest(p, 1e-8))) AS l FROM p GROUP BY 1)")
+def x6_routing_ce(spark, d):
+    """Routing cross entropy with label smoothing of 0.1 over ten clusters."""
+    ids, x = cosine_distances(spark, d)
+    p = x.join(emb(spark, d).select("vec_id", "label"), "vec_id").select(V.softmax(F.col("dist"), 0.1).alias("p"), F.array(*[F.when(F.col("label") == i, 0.9).otherwise(0.0) + 0.01 for i in ids]).alias("t"))
+    loss = -V.total(F.zip_with("p", "t", lambda a, b: b * F.log(F.greatest(a, F.lit(1e-8)))))
+    return p.select(loss.alias("l")).agg(F.round(F.avg("l"), 5).alias("loss"))
+
+
+@query("x13_router_summary", _SOFT + " SELECT cluster_id, round(avg(p), 6) AS mean_weight FROM p GROUP BY 1")
+def x13_router_summary(spark, d):
+    """Mean routing weight of each cluster."""
+    from passagemill.operators.assign import long_distances
+
+    ids, x = cosine_distances(spark, d)
+    p = x.select("vec_id", V.softmax(F.col("dist"), 0.1).alias("dist"))
+    return long_distances(p, "vec_id", ids).groupBy("cluster_id").agg(F.round(F.avg("dist"), 6).alias("mean_weight"))
+
+
+@query("x14_atypicality", f"WITH {VEC_SQL}, p AS (SELECT vec_id, e, c, exp(-d / 0.1) / sum(exp(-d / 0.1)) OVER (PARTITION BY vec_id) AS p FROM dist), x AS (SELECT vec_id, i, any_value(ex) AS ex, sum(p * cx) AS coarse FROM (SELECT vec_id, p, unnest(e) AS ex, unnest(c) AS cx, generate_subscripts(e, 1) AS i FROM p) GROUP BY 1, 2) SELECT vec_id, round(sqrt(sum((ex - coarse) * (ex - coarse))), 5) AS atypicality FROM x GROUP BY 1")
+def x14_atypicality(spark, d):
+    """Distance of each vector from the mixture of centroids that its routing gives."""
+    _, c = centroids(spark, d)
+    _, x = cosine_distances(spark, d)
+    cent = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in c])
+    p = x.select("vec_id", V.softmax(F.col("dist"), 0.1).alias("p")).join(emb(spark, d).select("vec_id", "embedding"), "vec_id")
+    coarse = F.aggregate(F.zip_with("p", cent, lambda w, v: F.transform(v, lambda y: y * w)), F.array(*[F.lit(0.0)] * c.shape[1]), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return p.select("vec_id", F.round(V.norm(V.minus(F.col("embedding"), coarse)), 5).alias("atypicality"))
+
+
+@query("x10_ema", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: 0.99 * x + 0.01 * x * x)), 6) AS s FROM embeddings")
+def x10_ema(spark, d):
+    """Exponential moving average of a target vector toward an online one."""
+    e = V.doubles(F.col("embedding"))
+    mixed = F.zip_with(e, F.transform(e, lambda x: x * x), lambda t, o: 0.99 * t + 0.01 * o)
+    return emb(spark, d).select("vec_id", F.round(V.total(mixed), 6).alias("s"))
+
+
+@query("m12_target_entropy", "SELECT s AS step, round(ln(10) + (0.5 - ln(10)) * least(s / 50.0, 1), 6) AS target FROM (SELECT unnest(range(0, 61, 10)) AS s)")
+def m12_target_entropy(spark, d):
+    return spark.createDataFrame([(s, round(M.target_entropy(s, 50, 10, 0.5), 6)) for s in range(0, 61, 10)], "step long, target double")
+
+
+@query("m13_warmup", "SELECT s AS step, round(CASE WHEN s < 10 THEN (s + 1) / 10.0 ELSE 0.01 + 0.99 * (1 + cos(pi() * least((s - 10) / 90.0, 1))) / 2 END, 6) AS factor FROM (SELECT unnest(range(0, 111, 5)) AS s)")
+def m13_warmup(spark, d):
+    return spark.createDataFrame([(s, round(M.warmup_factor(s, 10, 100), 6)) for s in range(0, 111, 5)], "step long, factor double")

@@ -343,3 +343,101 @@ def w52_variant_shares(spark, d):
         one = emb(spark, d).agg(F.lit(ep).alias("epoch"), F.sum((v == "zero").cast("int")).alias("zeros"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("n5_adjacent_sample", f"""
+WITH {TRAIN_SQL}, adj AS (SELECT own, other FROM (SELECT a.label AS own, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY round(1 - list_cosine_similarity(a.c, b.c), 9), b.label) AS r FROM cent a JOIN cent b ON a.label <> b.label) WHERE r <= 3),
+ring AS (SELECT own AS cluster_id, vec_id AS source_id, row_number() OVER (PARTITION BY own ORDER BY {H.format("'43', vec_id::VARCHAR")}, vec_id) - 1 AS pos, count(*) OVER (PARTITION BY own) AS m FROM v JOIN adj ON adj.other = v.label),
+s AS (SELECT DISTINCT cluster_id, m FROM ring),
+p AS (SELECT t.pair_id, t.source_id, t.cluster_id, i, ({H.format("'8', 'start', t.pair_id::VARCHAR")} + i) % m AS pos FROM t JOIN s USING (cluster_id), (SELECT unnest(range(0, 3)) AS i) WHERE i < m),
+o AS (SELECT p.pair_id, ring.source_id AS neg_id, row_number() OVER (PARTITION BY p.pair_id ORDER BY i) AS slot FROM p JOIN ring USING (cluster_id, pos) WHERE ring.source_id <> p.source_id)
+SELECT pair_id, slot, neg_id FROM o WHERE slot <= 2
+""")
+def n5_adjacent_sample(spark, d):
+    """Two negatives per pair from the three clusters next to its own."""
+    ids, c = centroids(spark, d)
+    near = spark.createDataFrame([(int(a), int(b)) for a, _, b in negatives.adjacent(ids, c, 3)], "cluster_id int, other int")
+    grouped = _sources(spark, d).join(F.broadcast(near.select(F.col("other").alias("cluster_id"), F.col("cluster_id").alias("own"))), "cluster_id").select(F.col("own").alias("cluster_id"), "source_id")  # ten labels
+    r = settle(negatives.ring(grouped, 43))
+    return negatives.in_cluster(train_pairs(spark, d), r, 2, 8).select("pair_id", F.col("slot").cast("long").alias("slot"), "neg_id")
+
+
+@query("n6_random_distant", f"""
+WITH {TRAIN_SQL}, ring AS (SELECT vec_id AS source_id, label AS c2, row_number() OVER (ORDER BY {H.format("'44', vec_id::VARCHAR")}, vec_id) - 1 AS pos FROM v),
+dr AS (SELECT pair_id, source_id AS own, cluster_id, i, {H.format("'9', 'far', pair_id::VARCHAR, i::VARCHAR")} % (SELECT n FROM n) AS pos FROM t, (SELECT unnest(range(0, 8)) AS i)),
+o AS (SELECT pair_id, ring.source_id AS neg_id, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS slot FROM dr JOIN ring USING (pos) WHERE c2 <> cluster_id AND ring.source_id <> own)
+SELECT pair_id, slot, neg_id FROM o WHERE slot <= 2
+""")
+def n6_random_distant(spark, d):
+    """Two seeded draws per pair from other clusters."""
+    src = settle(_sources(spark, d))
+    whole = negatives.ring(src.withColumn("all", F.lit(0)), 44, "all")
+    ring_all = settle(whole.join(src, "source_id"))
+    return negatives.random_distant(train_pairs(spark, d), ring_all, 2, 9).select("pair_id", F.col("slot").cast("long").alias("slot"), "neg_id")
+
+
+@query("n8_quota", "SELECT * FROM (VALUES (8, 1, 2), (8, 2, 2), (8, 3, 2), (8, 4, 2), (10, 1, 3), (10, 2, 3), (10, 3, 2), (10, 4, 2)) AS q(n_neg, tier, n)")
+def n8_quota(spark, d):
+    """Negatives per tier for two sizes."""
+    return spark.createDataFrame([(n, t + 1, q) for n in (8, 10) for t, q in enumerate(negatives.quota(n))], "n_neg int, tier int, n int")
+
+
+@query("t3_similar", f"""
+WITH {TRAIN_SQL}, r AS (SELECT t.question_id, o.vec_id AS near_id, row_number() OVER (PARTITION BY t.question_id ORDER BY round(list_cosine_similarity(q.e, o.e), 9) DESC, o.vec_id) AS r, round(list_cosine_similarity(q.e, o.e), 9) AS s
+  FROM (SELECT DISTINCT question_id FROM t) t JOIN v q ON q.vec_id = t.question_id JOIN v o ON o.vec_id <> q.vec_id),
+k AS (SELECT question_id, near_id FROM r WHERE r <= 3 AND s > 0.2)
+SELECT t.question_id, t.source_id, k.near_id FROM t JOIN k USING (question_id) WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.question_id = k.question_id AND x.source_id = k.near_id)
+""")
+def t3_similar(spark, d):
+    """Relevant sources against the similar ones that aren't relevant."""
+    from passagemill.operators.knn import block_topk
+
+    e = settle(emb(spark, d).select("vec_id", F.col("embedding").alias("vec")))
+    t = settle(train_pairs(spark, d).select("question_id", "source_id"))
+    q = t.select("question_id").distinct().join(e.withColumnRenamed("vec_id", "question_id"), "question_id").select(F.col("question_id").alias("key"), F.col("question_id").alias("tag"), "vec")
+    near = block_topk(q, e.select(F.col("vec_id").alias("oid"), F.col("vec_id").alias("otag"), "vec"), 3, exclude_same_tag=True).where("sim > 0.2").select(F.col("key").alias("question_id"), F.col("oid").alias("near_id"))
+    fresh = near.join(t.select("question_id", F.col("source_id").alias("near_id")), ["question_id", "near_id"], "left_anti")
+    return t.join(fresh, "question_id").select("question_id", "source_id", "near_id")
+
+
+@query("t4_relevant_pairs", f"WITH {PAIRS_SQL} SELECT question_id, source_id, count(*) AS n FROM pairs_ok WHERE source_id >= 0 GROUP BY 1, 2")
+def t4_relevant_pairs(spark, d):
+    """Question-source pairs by relevance, blank texts left out."""
+    return pairs_ok(spark, d).where("source_id >= 0").groupBy("question_id", "source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jn12_combinations", f"WITH {_LINKS_SQL}, s AS (SELECT question_id FROM l GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20) SELECT a.question_id, a.source_id AS a, b.source_id AS b FROM l a JOIN l b ON a.question_id = b.question_id AND a.source_id < b.source_id JOIN s ON s.question_id = a.question_id")
+def jn12_combinations(spark, d):
+    """All combinations of two among the relevant sources of questions with at most twenty."""
+    l = settle(_links(spark, d))  # noqa: E741
+    few = l.groupBy("question_id").count().where("count between 2 and 20").select("question_id")
+    return triplets.positives(l.join(few, "question_id", "left_semi"))
+
+
+@query("lb6_priority", "SELECT pair_id, CASE WHEN keywords IS NOT NULL AND trim(keywords) <> '' THEN 'suggestions' WHEN relevance_score IS NOT NULL AND NOT isnan(relevance_score) THEN 'stored' ELSE 'embedding' END AS label_source FROM pairs")
+def lb6_priority(spark, d):
+    """Which of the three sources gives a row its label: the first that has a value."""
+    p = table(spark, d, "pairs")
+    has = F.when(F.col("keywords").isNotNull() & (F.trim("keywords") != ""), "suggestions")
+    score = F.when(F.col("relevance_score").isNotNull() & ~F.isnan("relevance_score"), "stored")
+    return p.select("pair_id", F.coalesce(has, score, F.lit("embedding")).alias("label_source"))
+
+
+@query("j9_relevance_map", "SELECT doc_id, CASE WHEN quality = toxic THEN '{\"q' || quality || '\":\"second\"}' ELSE '{\"q' || quality || '\":\"first\",\"q' || toxic || '\":\"second\"}' END AS json FROM (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1)")
+def j9_relevance_map(spark, d):
+    """Parallel lists as a JSON object in which a repeated key keeps its last value."""
+    from passagemill.functions.jsoncols import last_wins
+
+    lab = table(spark, d, "labels").where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("a"), F.min("toxic").alias("b"))
+    keys = lab.select("doc_id", F.array(F.concat(F.lit("q"), F.col("a").cast("string")), F.concat(F.lit("q"), F.col("b").cast("string"))).alias("keys"), F.array(F.lit("first"), F.lit("second")).alias("vals"))
+    return keys.select("doc_id", last_wins(F.col("keys"), F.col("vals")).alias("json"))
+
+
+@query("sk11_update", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 9 END, quality) AS quality FROM (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) WHERE quality IS NOT NULL")
+def sk11_update(spark, d):
+    """A partial update: new values where they are given, old ones elsewhere."""
+    from passagemill.sources.store import updated
+
+    old = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null")
+    new = old.where("doc_id % 2 = 0").select("doc_id", F.lit(9).alias("quality"))
+    return updated(old, new, "doc_id")
