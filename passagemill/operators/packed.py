@@ -245,8 +245,12 @@ def _finish(it):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(val, pa.string())], names=["id", "pos", "value"])
 
 
-def unpack(df: DataFrame, id_col: str, cell_col: str) -> DataFrame:
-    """One row ``(id_col, pos, value)`` for each value of each cell of ``cell_col``."""
+def unpack(df: DataFrame, id_col: str, cell_col: str, only: DataFrame | None = None) -> DataFrame:
+    """One row ``(id_col, pos, value)`` for each value of each cell of ``cell_col``.
+
+    With ``only`` (ids in ``id_col``) code lengths still come from all cells,
+    but just the cells of these ids are decided and given.
+    """
     from passagemill.runtime import settle
 
     cells = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{cell_col}`").cast("string").alias("cell"))
@@ -258,6 +262,11 @@ def unpack(df: DataFrame, id_col: str, cell_col: str) -> DataFrame:
     folded = unsure.withColumn("folded", F.lower(strip_all(F.col("cell"))))
     keyed = folded.withColumn("cell_key", F.xxhash64("folded"))
     distinct = keyed.groupBy("folded").agg(F.first("cell_key").alias("cell_key"), F.count(F.lit(1)).alias("copies"))
+    sure = first.where("kind = 0").select("id", "pos", "value")
+    if only is not None:
+        ids = only.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+        keyed, sure = settle(keyed.join(ids, "id", "left_semi")), sure.join(ids, "id", "left_semi")
+        distinct = distinct.join(keyed.select("folded"), "folded", "left_semi")
     spread = distinct.select("folded", "cell_key", "copies").mapInArrow(_expand, "cell_key long, dialect string, n int, base double, value string, unknown double, own double, marks int")
     # what copies of the cell itself add to a value's count says nothing about the value
     others = F.col("weight") - F.col("own")
@@ -265,7 +274,7 @@ def unpack(df: DataFrame, id_col: str, cell_col: str) -> DataFrame:
     cost = spread.join(counts, "value", "left").groupBy("cell_key", "dialect").agg((F.first("base") + F.sum(known)).alias("bits"), F.first("n").alias("n"))
     best = cost.groupBy("cell_key").agg(F.min_by("dialect", F.struct(F.round("bits", 6), -F.col("n"), "dialect")).alias("dialect"))
     chosen = keyed.join(best, "cell_key").select("id", "cell", "dialect").mapInArrow(_finish, "id long, pos int, value string")
-    out = first.where("kind = 0").select("id", "pos", "value").unionByName(chosen)
+    out = sure.unionByName(chosen)
     return out.select(F.col("id").alias(id_col), "pos", "value")
 
 

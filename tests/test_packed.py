@@ -51,3 +51,11 @@ def test_round_trip(values):
     values = [v.strip() for v in values]
     assert parse(" ; ".join(f'"{v}"' for v in values), frozenset(";"), True) == values
     assert [v for _, v in candidates(json.dumps(values))] == [values]
+
+
+def test_only_some_ids(spark):
+    rows = [pair(i, keywords=f"a{i % 5}, b{i % 3}") for i in range(60)] + [pair(99, keywords='["x"]')]
+    df = pairs(spark, rows)
+    every = {tuple(r) for r in unpack(df, "pair_id", "keywords").collect()}
+    some = {tuple(r) for r in unpack(df, "pair_id", "keywords", only=df.where("pair_id % 7 = 1")).collect()}
+    assert some == {r for r in every if r[0] % 7 == 1} and some
