@@ -66,7 +66,7 @@ def _ranked(pairs: DataFrame, files: DataFrame) -> DataFrame:
     pairs = pairs.select(*FIELDS)  # columns of other names, whatever they are, take no part
     members = settle(repeated_rows(pairs, "pair_id", ["question", "source"]).groupBy("pair_id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies")))
     shared = shared_answers(pairs).withColumn("shared", F.lit(True))
-    cells = unpack(pairs, "pair_id", "keywords").join(members.select("pair_id"), "pair_id", "left_semi")
+    cells = unpack(pairs, "pair_id", "keywords", only=members)
     rich = cells.groupBy("pair_id").agg(F.countDistinct(F.lower("value")).alias("n_keywords"))
     trust = files.groupBy("file_name").agg(F.max("trust").alias("trust"))
     rows = pairs.join(members, "pair_id").withColumn("answer_key", F.xxhash64(_folded(F.col("answer"))))
