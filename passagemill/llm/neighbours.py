@@ -30,9 +30,9 @@ from passagemill.runtime import drop_settled, settle
 
 DIM = 64
 #: Vectors on which the upper levels of the trees are fitted; vectors of a leaf that are compared whole; trees; list length while descending.
-SAMPLE, LEAF, TREES, WIDTH = 20_000, 1_500, 8, 12
+SAMPLE, LEAF, TREES, WIDTH = 20_000, 6_000, 10, 24
 #: Descent ends when fewer than this share of the list entries change, or after so many rounds.
-SETTLED_SHARE, ROUNDS = 0.01, 4
+SETTLED_SHARE, ROUNDS = 0.005, 5
 
 
 def unit_vectors(df: DataFrame, rid: str, embedding: str, dim: int = DIM) -> DataFrame:
@@ -99,11 +99,13 @@ def _compare_leaf(ids: np.ndarray, v: np.ndarray, width: int, rng, out: list) ->
     n = len(ids)
     if n < 2:
         return
-    s = v @ v.T
-    np.fill_diagonal(s, -2)
     k = min(width, n - 1)
-    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    out.append((np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+    for at in range(0, n, 1024):
+        s = v[at : at + 1024] @ v.T
+        rows = np.arange(len(s))
+        s[rows, rows + at] = -2
+        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out.append((np.repeat(ids[at : at + 1024], k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
 
 
 _EDGE = "u long, v long, sim float"
@@ -260,7 +262,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.85, k: int = 5) -> DataFr
     return close.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
 
 
-def greedy_search(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, entries: int = 256, rounds: int = 8) -> DataFrame:
+def greedy_search(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 48, entries: int = 256, rounds: int = 8) -> DataFrame:
     """``(query_id, other, sim, rank)`` by greedy search on the neighbour graph.
 
     ``queries``: rows ``(id, vec)``.  Every query starts at the best of
