@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +68,31 @@ def warmup_factor(step: int, warmup: int, steps: int, floor: float = 0.01) -> fl
 def variance_terms(df: DataFrame, vec: str, eps: float = 1e-4) -> DataFrame:
     """Hinge on the components' standard deviations and summed squared covariances over the dimension.
 
-    Moments are sums over rows of products of components, partially aggregated
-    per pair of components; nothing is collected per row group.
+    Every task sums its rows' first and second moments; only these matrices (one
+    of dimension squared for each task) meet.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("_r"), F.posexplode(V.doubles(F.col(vec))).alias("i", "x"))
-    var = rows.groupBy("i").agg(F.var_samp("x").alias("v"))
-    hinge = var.agg(F.avg(F.greatest(1 - F.sqrt(F.col("v") + eps), F.lit(0.0))).alias("variance"), F.count(F.lit(1)).alias("dim"))
-    v = V.doubles(F.col(vec))
-    dim = F.size(v)
-    ij = F.flatten(F.transform(F.sequence(F.lit(0), dim - 2), lambda i: F.transform(F.sequence(i + 1, dim - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get(v, i).alias("x"), F.get(v, j).alias("y")))))
-    cov = df.where(dim > 1).select(F.explode(ij).alias("p")).groupBy("p.i", "p.j").agg(F.covar_samp("p.x", "p.y").alias("c"))
-    total = cov.agg(F.coalesce(2 * F.sum(F.col("c") * F.col("c")), F.lit(0.0)).alias("c2"))
-    return hinge.crossJoin(total).select(F.round("variance", 6).alias("variance"), F.round(F.col("c2") / F.col("dim"), 6).alias("covariance"))  # one row each
+
+    def moments(it):
+        n, s, g = 0, None, None
+        for b in it:
+            x = np.array(b.column(0).to_pylist(), np.float64)
+            if len(x):
+                n += len(x)
+                s = x.sum(0) + (0 if s is None else s)
+                g = x.T @ x + (0 if g is None else g)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["n", "s", "g"])
+
+    n, s, g = 0, 0.0, 0.0
+    for r in df.where(F.col(vec).isNotNull()).select(V.doubles(F.col(vec)).alias("v")).mapInArrow(moments, "n long, s binary, g binary").toLocalIterator():
+        n, s, g = n + r["n"], s + np.frombuffer(r["s"]), g + np.frombuffer(r["g"])
+    if n < 2:
+        return df.sparkSession.createDataFrame([(None, None)], "variance double, covariance double")
+    d = len(s)
+    cov = (np.reshape(g, (d, d)) - np.outer(s, s) / n) / (n - 1)
+    hinge = float(np.maximum(1 - np.sqrt(np.diag(cov) + eps), 0).mean())
+    off = float((cov**2).sum() - (np.diag(cov) ** 2).sum())
+    return df.sparkSession.createDataFrame([(round(hinge, 6), round(off / d, 6))], "variance double, covariance double")
 
 
 def actionable(atypicality: Column, influence: Column) -> Column:
