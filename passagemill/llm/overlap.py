@@ -8,8 +8,10 @@ maximal matches, spans are merged and counted, and a pair whose count could
 still mean four fifths is decided by the exact longest common subsequence.
 
 A shard holds the records of one passage: a record can only match one whose
-passage matches too.  Passages that differ are linked first: they share
-shingles, the rarest kind of them as keys, and the exact subsequence decides.
+passage matches too.  Passages that differ are linked first: they share one of
+the rarest words of each (prefix filtering); those of words with many pairs are
+compared in blocks by bounds on common words and word pairs; the exact
+subsequence decides.  No pair is lost.
 Every symbol of the index carries its passage, so the index of a shard is a
 forest of small ones and no search leaves its passage.  The records of a passage
 with too many pairs are dealt to sub-shards by combinations of their rarest
@@ -37,12 +39,12 @@ from passagemill.llm.survivors import split_name
 from passagemill.runtime import settle
 
 SHARE = 0.8
-#: Keys of a passage: shingles of 6 words with a rare word, and of 8 words without one.
-RARE_KEYS, PLAIN_KEYS = 16, 8
-#: Passages without a rare word also get shingles of 4 words, or all of their shingles of 3 if they are short.
-POOR_KEYS = 32
-#: The passages of a key with more pairs than this are found by combinations of their rarest words instead.
-HOT_PAIRS = 5_000_000
+#: The passages of a key with more pairs than this are compared in blocks instead.
+HOT_PAIRS = 20_000
+#: Passages of one side of a block, and those whose common words are counted in one matrix product.
+BLOCK, STRIP = 16_384, 512
+#: Passages of lengths within 5 / 4 are in the same or in neighbouring classes of this width.
+CLASS_WIDTH = float(np.log(1.26))
 #: A passage with more record pairs than this gets sub-shards.
 SHARD_PAIRS = 250_000
 #: Hits of a backward search held at a time.
@@ -281,66 +283,33 @@ def _counts(u, n):
     return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def _shingles(ids: np.ndarray, text_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which a run of ``k`` words lies in one text, and the runs' hashes."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.full(n, k, np.uint64)
-    for j in range(k):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n].astype(np.uint64) + np.uint64(0x7F4A7C15)
-        x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    at = np.flatnonzero(text_of[:n] == text_of[k - 1 :])
-    return at, x[at].view(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def passage_keys(cells: list[bytes], frequent: np.ndarray, counts: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, key)``: of each passage the shingles with the least hashes among those with a rare word and those without one.
+def passage_keys(cells: list[bytes], frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, key)``: keys of which any two matching passages have one in common.
 
-    Of those without one, shingles that chance would give to more than one text
-    (by the shares of their words, as if words were independent) come last.
+    Passages that match have all but ``n - needed(n)`` words of each in common,
+    so of the words in any one order (rarest first, repeats numbered) the first
+    that both have is among the first ``n - needed(n) + 1`` of each.
     """
     ids, sizes = _flat(cells)
     text_of = np.repeat(np.arange(len(sizes)), sizes)
-    rare, bits = np.ones(len(ids), bool), np.full(len(ids), np.log(max(texts, 2)))
+    df = np.zeros(len(ids), np.int64)
     if len(frequent):
         nearest = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
-        rare = frequent[nearest] != ids
-        bits = np.where(rare, bits, np.log(max(texts, 2) / counts[nearest]))
-    upto, weight = np.concatenate([[0], np.cumsum(rare)]), np.concatenate([[0.0], np.cumsum(bits)])
-    # texts without a rare word need more and shorter shingles
-    poor = (np.bincount(text_of, rare, len(sizes)) == 0) & (sizes >= 24)
-    out = []
-    for k, most, which in ((6, RARE_KEYS, "rare"), (8, PLAIN_KEYS, "plain"), (4, POOR_KEYS, "poor"), (3, None, "few"), (2, None, "fewest")):
-        at, x = _shingles(ids, text_of, k)
-        of = text_of[at]
-        n = sizes[of]
-        if which in ("rare", "plain"):
-            keep = (n >= 24) & ((upto[at + k] > upto[at]) == (which == "rare"))
-        elif which == "poor":
-            keep = poor[of] & (n >= 48)
-        elif which == "few":
-            keep = ((n >= 12) & (n < 24)) | (poor[of] & (n < 48))
-        else:
-            keep = n < 12
-        t, x = of[keep], x[keep]
-        if not len(t):
-            continue
-        chance = (weight[at + k] - weight[at])[keep] < np.log(max(texts, 2))
-        order = np.lexsort((x, chance, t))
-        t, x, chance = t[order], x[order], chance[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
-        t, x = t[new], x[new]
-        if most is not None:
-            head = np.arange(len(t)) - np.searchsorted(t, t) < most
-            t, x = t[head], x[head]
-        out.append((t, x))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        df = np.where(frequent[nearest] == ids, counts[nearest], 0)
+    order = np.lexsort((ids, df, text_of))
+    w, at = ids[order].astype(np.uint64), np.arange(len(ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (w[1:] != w[:-1]) | (text_of[1:] != text_of[:-1])
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    key = _mixed(w | nth.astype(np.uint64) << np.uint64(32)).view(np.int64)
+    head = at - np.repeat(np.cumsum(sizes) - sizes, sizes) <= np.repeat(sizes + (-4 * sizes) // 5, sizes)
+    return text_of[head], key[head]
 
 
 def sketches(cells: list[bytes]) -> np.ndarray:
@@ -352,6 +321,101 @@ def sketches(cells: list[bytes]) -> np.ndarray:
     return bits.view(np.int64)
 
 
+def _wide(hashes: np.ndarray, text_of: np.ndarray, count: int) -> np.ndarray:
+    """1,024 bits for each text."""
+    bits = np.zeros((count, 16), np.uint64)
+    np.bitwise_or.at(bits, (text_of, (hashes >> np.uint64(6)) & np.uint64(15)), np.uint64(1) << (hashes & np.uint64(63)))
+    return bits
+
+
+def match_block(e: list[bytes], t: list[bytes]) -> list[tuple[int, int]]:
+    """Places of the matching passages of two lists: every pair is compared by bounds that no match can break, then exactly."""
+
+    def drawn(cells):
+        ids, sizes = _flat(cells)
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        run = np.flatnonzero(text_of[1:] == text_of[:-1])
+        two = _mixed(ids[run].astype(np.uint64) << np.uint64(32) | ids[run + 1].astype(np.uint64))
+        return sizes, np.unpackbits(sketches(cells).view(np.uint8), axis=1).astype(np.float32), _wide(ids.astype(np.uint64) >> np.uint64(8), text_of, len(sizes)), _wide(two, text_of[run], len(sizes))
+
+    orders = [np.argsort([len(c) for c in cells], kind="stable") for cells in (e, t)]
+    (en, eb, ew, e2), (tn, tb, tw, t2) = (drawn([cells[i] for i in o]) for cells, o in zip((e, t), orders, strict=True))
+    # a passage can lack at most n - needed words of the other
+    slack_e, slack_t = eb.sum(1) - en, tb.sum(1) - tn
+    least = slack_e + -(-4 * en // 5)
+    out = []
+    for k in range(0, len(en), STRIP):
+        mine = en[k : k + STRIP]
+        lo, hi = np.searchsorted(tn, -(-4 * mine[0] // 5)), np.searchsorted(tn, mine[-1] * 5 // 4, side="right")
+        for j in range(lo, hi, 4096):
+            common = eb[k : k + STRIP] @ tb[j : min(j + 4096, hi)].T
+            at = np.flatnonzero((common >= least[k : k + STRIP, None]).ravel())
+            shared = common.ravel()[at]
+            a, b = at // common.shape[1] + k, at % common.shape[1] + j
+            n, m = en[a], tn[b]
+            need = -(-4 * np.maximum(n, m) // 5)
+            ok = (np.minimum(n, m) >= need) & (shared >= slack_e[a] + need) & (shared >= slack_t[b] + need)
+            # of w common words in order all but n + m - 2 w follow one another in both
+            for x, y, spare in ((ew, tw, 0), (e2, t2, 1)):
+                a, b, n, m, need = (v[ok] for v in (a, b, n, m, need))
+                kept = np.maximum(3 * need - n - m - 1, 0) if spare else need
+                ok = (np.bitwise_count(x[a] & ~y[b]).sum(1) <= n - spare - kept) & (np.bitwise_count(y[b] & ~x[a]).sum(1) <= m - spare - kept)
+            out += [(int(p), int(q)) for p, q in zip(orders[0][a[ok]], orders[1][b[ok]], strict=True) if alike(np.frombuffer(e[p], np.uint32).tolist(), np.frombuffer(t[q], np.uint32).tolist())]
+    return out
+
+
+def block_pairs(hot: DataFrame) -> DataFrame:
+    """``(es, ts)`` of the matching passages among ``(sid, kind, s)``: all that lengths allow are compared, in blocks."""
+    spark = hot.sparkSession
+
+    def length_class(n):
+        return np.floor(np.log(n) / CLASS_WIDTH).astype(np.int64)
+
+    def classes(it):
+        for b in it:
+            g = length_class(np.array([len(c) // 4 for c in b.column(2).to_pylist()], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(g), *(pa.array((np.asarray(b.column(1)) & k > 0).astype(np.int64)) for k in (2, 1))], names=["g", "e", "t"])
+
+    # a few hundred classes at most, whatever the number of passages
+    sizes = {r["g"]: (r["e"], r["t"]) for r in hot.mapInArrow(classes, "g long, e long, t long").groupBy("g").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).collect()}
+    chunks = {g: tuple(-(-n // BLOCK) for n in each) for g, each in sizes.items()}
+
+    def spread(it):
+        for b in it:
+            at, block, side = [], [], []
+            sid, kinds = np.asarray(b.column(0)), np.asarray(b.column(1))
+            own = length_class(np.array([len(c) // 4 for c in b.column(2).to_pylist()], np.int64)).tolist()
+            draw = _mixed(sid.view(np.uint64))
+            for i, g in enumerate(own):
+                for s, bit in ((0, 2), (1, 1)):
+                    if kinds[i] & bit:
+                        c = int(draw[i]) % chunks[g][s]
+                        blocks = [(g, c, h, x) if s == 0 else (h, x, g, c) for h in (g - 1, g, g + 1) for x in range(chunks.get(h, (0, 0))[1 - s])]
+                        block += [hash(x) for x in blocks]
+                        at += [i] * len(blocks)
+                        side += [s] * len(blocks)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(side, pa.int8()), b.column(0).take(where), b.column(2).take(where)], names=["block", "side", "sid", "s"])
+
+    def compare(it):
+        bs = [b for b in it if b.num_rows]
+        if not bs:
+            return
+        t = pa.Table.from_batches(bs)
+        block, side, sid, cells = t["block"].to_numpy(), t["side"].to_numpy(), t["sid"].to_numpy(), t["s"]
+        for x in np.unique(block):
+            e, r = (np.flatnonzero((block == x) & (side == k)) for k in (0, 1))
+            if len(e) and len(r):
+                got = match_block(*(cells.take(pa.array(i)).to_pylist() for i in (e, r)))
+                left, right = (sid[i[[p[k] for p in got]]] if got else np.zeros(0, np.int64) for k, i in enumerate((e, r)))
+                ok = left != right
+                yield pa.RecordBatch.from_arrays([pa.array(left[ok]), pa.array(right[ok])], names=["es", "ts"])
+
+    blocks = sum(chunks[g][0] * chunks.get(h, (0, 0))[1] for g in chunks for h in (g - 1, g, g + 1))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    return hot.mapInArrow(spread, "block long, side byte, sid long, s binary").repartition(tasks, "block").mapInArrow(compare, "es long, ts long")
+
+
 _PAIRED = "es long, ts long, key long, kind byte"
 _KEYED = [("sid", pa.int64()), ("key", pa.int64()), ("kind", pa.int8()), ("n", pa.int16())]
 
@@ -405,7 +469,7 @@ def passage_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def keys(it):
         for b in it:
             cells = b.column(3).to_pylist()
-            t, x = passage_keys(cells, *frequent.value, count)
+            t, x = passage_keys(cells, *frequent.value)
             sid, kind = np.asarray(b.column(0)), np.asarray(b.column(1)) + 2 * np.asarray(b.column(2))
             n = np.minimum(np.array([len(c) // 4 for c in cells], np.int64), 32767)
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, (_, k) in zip((sid[t], x, kind[t], n[t]), _KEYED, strict=True)], names=[k for k, _ in _KEYED])
@@ -413,27 +477,8 @@ def passage_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = passages.select("sid", F.col("train").cast("byte").alias("train"), F.col("eval").cast("byte").alias("eval"), "s").mapInArrow(keys, "sid long, key long, kind byte, n short")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * 20 // 1_000_000)
     got = settle(keyed.repartition(tasks, "key").mapInArrow(_near(HOT_PAIRS), _PAIRED))
-    pairs = got.where("ts is not null").select("es", "ts")
+    pairs = got.where("ts is not null").select("es", "ts").distinct()
     hot = settle(got.where("ts is null").select(F.col("es").alias("sid"), "kind").distinct())
-    if not hot.isEmpty():
-        # any two of these passages that match share a combination of their rarest words, whatever their hot keys are
-        counts = spark.sparkContext.broadcast(dict(zip(*(x.tolist() for x in common), strict=True)))
-
-        def combine(it):
-            for b in it:
-                rows = []
-                for sid, kind, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = np.frombuffer(s, np.uint32).tolist()
-                    rows += [(sid, k, kind, min(len(words), 32767)) for k in prefix_keys(words, counts.value, 2, PASSAGE_SHARES)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * 4, _KEYED, strict=True)], names=[k for k, _ in _KEYED])
-
-        combined = hot.join(passages.select("sid", "s"), "sid").select("sid", "kind", "s").mapInArrow(combine, "sid long, key long, kind byte, n short")
-        again = settle(combined.repartition(4 * tasks, "key").mapInArrow(_near(HOT_PAIRS), _PAIRED))
-        # what is left meets in a join, which may be split
-        rest = again.where("ts is null").select(F.col("es").alias("sid"), "key", "kind")
-        met = rest.where("kind >= 2").select("key", F.col("sid").alias("es")).join(rest.where("kind % 2 = 1").select("key", F.col("sid").alias("ts")), "key").where("es <> ts").select("es", "ts")
-        pairs = pairs.unionAll(again.where("ts is not null").select("es", "ts")).unionAll(met)
-    pairs = pairs.distinct()
 
     def sketch(it):
         for b in it:
@@ -457,11 +502,15 @@ def passage_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     same = passages.where("train = 1 and eval = 1").select(F.col("sid").alias("es"), F.col("sid").alias("ts"))
-    return same.unionByName(both.mapInArrow(verify, "es long, ts long")), passages.select("sk", "sid")
+    linked = both.mapInArrow(verify, "es long, ts long")
+    if not hot.isEmpty():
+        # passages that match and have no key with few pairs in common have a hot one in common, so both are here
+        linked = linked.unionByName(block_pairs(settle(hot.join(passages.select("sid", "s"), "sid").select("sid", "kind", "s")))).distinct()
+    return same.unionByName(linked), passages.select("sk", "sid")
 
 
 #: Number of shared words by the number of words; longer texts use one.
-QUESTION_SHARES, PASSAGE_SHARES = ((24, 5), (40, 3), (100, 2)), ((24, 4), (40, 3), (250, 2))
+QUESTION_SHARES = ((24, 5), (40, 3), (100, 2))
 
 
 def prefix_keys(words: list[int], frequent: dict[int, int], share: int, shares=QUESTION_SHARES) -> list[int]:

@@ -103,6 +103,43 @@ def test_hot_passage_is_dealt_to_sub_shards(spark, monkeypatch):
     assert got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def even_edits(seed):
+    """Passages with every fifth word changed or moved apart, of rare words, of common words, and of common words with rare ones put in."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(90):
+        n = rng.choice([10, 25, 30, 60, 125])
+        s = [f"w{rng.randrange(40)}" if i % 3 else f"r{i}x{j}" for j in range(n)]
+        a, b = list(s), list(s)
+        for k in range(4, n, 5):
+            b[k] = rng.choice([f"w{rng.randrange(40)}", f"new{i}x{k}"])
+        if i % 3 == 2:
+            for _ in range(n // 5):
+                del b[rng.randrange(len(b))]
+                b.insert(rng.randrange(len(b)), f"put{i}")
+            for k in range(2, n, 25):
+                a[k] = f"other{i}"
+        rows += [pair(2 * i, source=" ".join(a), tag="train"), pair(2 * i + 1, source=" ".join(b), tag="test")]
+    return rows
+
+
+def test_even_edits_lose_nothing(spark, monkeypatch):
+    rows = even_edits(8)
+    want = brute(rows)
+    assert len(want) > 50
+    for limit in (overlap.HOT_PAIRS, 3):
+        monkeypatch.setattr(overlap, "HOT_PAIRS", limit)
+        assert {tuple(r) for r in overlap.found(pairs(spark, rows)).collect()} == want
+
+
+def test_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_PAIRS", 0)
+    monkeypatch.setattr(overlap, "BLOCK", 60)
+    monkeypatch.setattr(overlap, "STRIP", 3)
+    for rows in (even_edits(9), variants(6, 300, False)):
+        assert {tuple(r) for r in overlap.found(pairs(spark, rows)).collect()} == brute(rows)
+
+
 def test_hot_keys_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(overlap, "HOT_PAIRS", 3)
     rows = variants(6, 300, False)
