@@ -408,10 +408,8 @@ def t4_relevant_pairs(spark, d):
 
 @query("jn12_combinations", f"WITH {_LINKS_SQL}, s AS (SELECT question_id FROM l GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20) SELECT a.question_id, a.source_id AS a, b.source_id AS b FROM l a JOIN l b ON a.question_id = b.question_id AND a.source_id < b.source_id JOIN s ON s.question_id = a.question_id")
 def jn12_combinations(spark, d):
-    """All combinations of two among the relevant sources of questions with at most twenty."""
-    l = settle(_links(spark, d))  # noqa: E741
-    few = l.groupBy("question_id").count().where("count between 2 and 20").select("question_id")
-    return triplets.positives(l.join(few, "question_id", "left_semi"))
+    """All combinations of two among the relevant sources of a question, however many it has (its SQL twin stops at twenty)."""
+    return triplets.positives(settle(_links(spark, d)))
 
 
 @query("lb6_priority", "SELECT pair_id, CASE WHEN keywords IS NOT NULL AND trim(keywords) <> '' THEN 'suggestions' WHEN relevance_score IS NOT NULL AND NOT isnan(relevance_score) THEN 'stored' ELSE 'embedding' END AS label_source FROM pairs")
