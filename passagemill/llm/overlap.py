@@ -1,33 +1,34 @@
 """Same or near-same records across splits (problem 6).
 
-Method: a compressed full-text index of evaluation shards.  The words of the
-evaluation questions of a shard are indexed by their Burrows-Wheeler transform;
-the training questions are streamed through backward search, which gives every
-run of words they share with an indexed question; runs on one diagonal merge to
-maximal matches, spans are merged and counted, and a pair whose count could
-still mean four fifths is decided by the exact longest common subsequence.
-
-A shard holds the records of one passage: a record can only match one whose
-passage matches too.  Passages that differ are linked first: they share one of
-the rarest words of each (prefix filtering); those of words with many pairs are
-compared in blocks by bounds on common words and word pairs; the exact
-subsequence decides.  No pair is lost.
-Every symbol of the index carries its passage, so the index of a shard is a
-forest of small ones and no search leaves its passage.  The records of a passage
-with too many pairs are dealt to sub-shards by combinations of their rarest
-words, so many of which any two matching questions must share (prefix
-filtering), so no pair is lost and no shard holds them all.
+Method: a compressed full-text index of evaluation shards.  The questions and
+passages of a shard's evaluation records are indexed by their Burrows-Wheeler
+transform, kept as runs with sampled suffixes; the training texts of the shard
+are streamed through backward search, which gives the evaluation texts that hold
+each run of words; runs merge to spans, the words they cover are counted, and a
+pair whose counts could still mean four fifths is decided by the exact longest
+common subsequence.  An evaluation text is indexed once in a shard, whatever the
+number of records that have it.
+
+Shards: questions are linked first, by sketches of the words of those that meet
+in a bucket (:func:`candidates`); a shard is a question with the records of all
+questions linked to it.  Buckets are prefix filters of growing depth: any two
+matching texts share the first ``c`` of their common words, rarest first, and
+these are among the first ``n - needed(n) + c`` of each.  A bucket with too many
+pairs is split by one more word, again and again; a bucket that a further word
+doesn't split is compared in blocks.  Shards with too many pairs are dealt by
+their passages in the same way.  No pair is lost.
 
 Defined results: rows with a missing question or passage, or without words,
 match nothing; NULL and unknown split tags are no split; equal word sequences
-are compared once and expanded at the end; an empty table gives no rows.
+are compared once and expanded at the end; an empty table gives no rows.  Words
+are compared by 64-bit digests.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,17 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.text import is_missing
 from passagemill.llm.survivors import split_name
-from passagemill.runtime import settle
+from passagemill.runtime import drop_settled, settle
 
 SHARE = 0.8
-#: The passages of a key with more pairs than this are compared in blocks instead.
+#: A bucket with more pairs than this is split by a further word.
 HOT_PAIRS = 20_000
-#: Passages of one side of a block, and those whose common words are counted in one matrix product.
-BLOCK, STRIP = 16_384, 512
-#: Passages of lengths within 5 / 4 are in the same or in neighbouring classes of this width.
-CLASS_WIDTH = float(np.log(1.26))
-#: A passage with more record pairs than this gets sub-shards.
+#: Texts of one side of a block; buckets this deep aren't split any more but compared in blocks.
+BLOCK, DEPTH = 2_048, 12
+#: A shard with more record pairs than this is dealt by the passages of its records.
 SHARD_PAIRS = 250_000
-#: Hits of a backward search held at a time.
-HITS = 4_000_000
-
+#: Pairs and hits held at a time.
+HELD = 1_000_000
 
 _seen: dict[str, int] = {}
 
@@ -59,7 +57,7 @@ def _word(w: str) -> int:
     if h is None:
         if len(_seen) > 500_000:
             _seen.clear()
-        h = _seen[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little")
+        h = _seen[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
     return h
 
 
@@ -77,8 +75,8 @@ def split_words(text: str) -> list[str]:
 
 
 def word_ids(words: list[str]) -> bytes:
-    """A 32-bit id for each word."""
-    return np.fromiter((_seen.get(w) or _word(w) for w in words), np.uint32, len(words)).tobytes()
+    """A 64-bit id for each word."""
+    return np.fromiter((_seen.get(w) or _word(w) for w in words), np.uint64, len(words)).tobytes()
 
 
 def common_words(a, b) -> int:
@@ -106,127 +104,211 @@ def alike(a, b) -> bool:
     return common_words(a, b) >= needed(max(n, m))
 
 
-class BackwardIndex:
-    """Burrows-Wheeler index of integer texts; a text's symbols never occur in another shard's alphabet."""
+class CompressedIndex:
+    """Burrows-Wheeler index of integer texts: run-length ranks, one suffix in ``sample`` kept.
+
+    Texts are sorted as wholes (each ends with a terminator of its own, which no
+    pattern holds).  Of the transform only its runs are kept, by place and by
+    symbol; a suffix that isn't kept is found by walking to one that is.
+    """
 
-    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, depth: int = 2):
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, sample: int = 8):
         sizes = lengths + 1
-        self.starts = np.cumsum(sizes) - sizes
-        n = int(sizes.sum())
-        body = np.zeros(n, np.uint64)
+        count, n = len(lengths), int(sizes.sum())
+        self.starts, self.n = np.cumsum(sizes) - sizes, n
         inside = np.ones(n, bool)
         inside[self.starts + sizes - 1] = False
-        body[inside] = symbols
-        self.alphabet, ranks = np.unique(body[inside], return_inverse=True)
+        self.alphabet, ranks = np.unique(symbols, return_inverse=True)
         t = np.zeros(n, np.int64)
-        t[inside] = ranks + 1  # 0 ends a text
-        # suffix order as deep as patterns are matched
-        rank, k = t.copy(), 1
-        while k < depth:
+        t[inside], t[~inside] = ranks + count, np.arange(count)
+        rank, k = t, 1
+        while True:
             ahead = np.zeros(n, np.int64)
-            ahead[:-k] = rank[k:]
-            order = np.lexsort((ahead, rank))
+            ahead[:-k] = rank[k:] + 1
+            key = rank * (n + count + 1) + ahead
+            order = np.argsort(key, kind="stable")
             step = np.ones(n, np.int64)
-            step[1:] = (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])
-            new = np.zeros(n, np.int64)
-            new[order] = np.cumsum(step) - 1
-            rank, k = new, 2 * k
-        self.suffixes = np.argsort(rank, kind="stable")
-        last = t[self.suffixes - 1]  # the transform: the symbol before each suffix
-        self.n = n
-        by = np.argsort(last, kind="stable")
-        self.occurrences = last[by] * n + by  # sorted by symbol, then place: one array answers every rank query
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(self.alphabet) + 1))])
+            step[1:] = key[order][1:] != key[order][:-1]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(step) - 1
+            if rank[order[-1]] == n - 1:
+                break
+            k *= 2
+        symbol = np.maximum(t - count + 1, 0)  # 0 stands for every terminator
+        last = symbol[order - 1]
+        self.run_start = np.concatenate([[0], np.flatnonzero(np.diff(last)) + 1])
+        self.run_symbol = last[self.run_start]
+        runs = len(self.run_start)
+        by = np.argsort(self.run_symbol, kind="stable")
+        self.run_key = self.run_symbol[by] * runs + by
+        self.before = np.concatenate([[0], np.cumsum(np.diff(np.append(self.run_start, n))[by])])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=len(self.alphabet) + 1))])
+        self.first_run = np.searchsorted(self.run_key, np.arange(len(self.alphabet) + 2) * runs)
+        begins = np.zeros(n, bool)
+        begins[self.starts] = True
+        kept = begins[order] | (order % sample == 0)
+        self.kept_at, self.kept = np.flatnonzero(kept), order[kept]
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """Symbol of each word, 0 if the index lacks it."""
-        if not len(self.alphabet):
-            return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == words, at + 1, 0)
 
+    def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs in the transform before each place."""
+        runs = len(self.run_start)
+        run = np.searchsorted(self.run_start, upto, side="right") - 1
+        at = np.searchsorted(self.run_key, symbol * runs + run)
+        part = np.where(self.run_symbol[run] == symbol, upto - self.run_start[run], 0)
+        return self.before[at] - self.before[self.first_run[symbol]] + part
+
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """One step of backward search for many patterns at once."""
         base = self.first[symbol]
-        before = np.searchsorted(self.occurrences, symbol * self.n)
-        return base + np.searchsorted(self.occurrences, symbol * self.n + lo) - before, base + np.searchsorted(self.occurrences, symbol * self.n + hi) - before
-
-    def shared_runs(self, words: np.ndarray, text_of: np.ndarray, length_of: np.ndarray):
-        """Yields ``(stream positions, indexed places)`` of every run of two words (one, for texts of one word), given by its last word."""
+        return base + self.rank(symbol, lo), base + self.rank(symbol, hi)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Place in the texts of each row of the suffix order."""
+        out, open_, row, steps = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows, 0
+        while len(open_):
+            at = np.minimum(np.searchsorted(self.kept_at, row), len(self.kept_at) - 1)
+            hit = self.kept_at[at] == row
+            out[open_[hit]] = self.kept[at[hit]] + steps
+            open_, row, steps = open_[~hit], row[~hit], steps + 1
+            symbol = self.run_symbol[np.searchsorted(self.run_start, row, side="right") - 1]
+            row = self.first[symbol] + self.rank(symbol, row)
+        return out
+
+    def holders(self, lo: np.ndarray, hi: np.ndarray):
+        """``(range, text)``: the texts that hold the pattern of each range, each once; ranges that repeat are located once."""
+        ranges, which = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
+        sizes = ranges[:, 1] - ranges[:, 0]
+        of = np.repeat(np.arange(len(ranges)), sizes)
+        rows = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(ranges[:, 0], sizes)
+        text = np.searchsorted(self.starts, self.locate(rows), side="right") - 1
+        pairs = np.unique(of * len(self.starts) + text)
+        return which.ravel(), pairs // len(self.starts), pairs % len(self.starts)
+
+    def covered(self, words: np.ndarray, text_of: np.ndarray, length_of: np.ndarray):
+        """``(streamed text, indexed text, words covered)``: how many words of a streamed text lie in spans that the indexed text holds.
+
+        A span is a chain of runs of two words (of one, for texts of one word):
+        that long at least is some run of every match.
+        """
         s = self.symbols(words)
-        one = s > 0
-        lo, hi = self.first[s], self.first[np.minimum(s + 1, len(self.first) - 1)]
-        whole = one & (length_of == 1)
+        known = s > 0
         two = np.zeros(len(s), bool)
-        two[1:] = one[1:] & one[:-1] & (text_of[1:] == text_of[:-1])
-        at = np.flatnonzero(two)
-        l2, h2 = self.extend(s[at - 1], lo[at], hi[at])
-        at, l2, h2 = np.concatenate([at, np.flatnonzero(whole)]), np.concatenate([l2, lo[whole]]), np.concatenate([h2, hi[whole]])
-        counts = np.maximum(h2 - l2, 0)
-        # as many hits at a time as fit in memory, however often a run is repeated
-        upto = np.cumsum(counts)
-        cuts = np.searchsorted(upto, np.arange(HITS, upto[-1] if len(upto) else 0, HITS))
-        for part in np.split(np.arange(len(at)), cuts):
-            c = counts[part]
-            where = np.repeat(at[part], c)
-            offset = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(l2[part], c)
-            yield where, self.suffixes[offset]
+        two[1:] = known[1:] & known[:-1] & (text_of[1:] == text_of[:-1])
+        at, whole = np.flatnonzero(two), np.flatnonzero(known & (length_of == 1))
+        lo, hi = self.extend(s[at - 1], self.first[s[at]], self.first[s[at] + 1])
+        at = np.concatenate([at, whole])
+        lo, hi = np.concatenate([lo, self.first[s[whole]]]), np.concatenate([hi, self.first[s[whole] + 1]])
+        some = hi > lo
+        at, lo, hi = at[some], lo[some], hi[some]
+        none = np.zeros(0, np.int64)
+        if not len(at):
+            return none, none, none
+        which, of, holder = self.holders(lo, hi)
+        sizes = np.bincount(of, minlength=which.max() + 1)
+        begin = np.cumsum(sizes) - sizes
+        texts, width = len(self.starts), len(words) + 1
+        out = []
+        for lo_t, hi_t in _portions(at, text_of, sizes[which]):  # whole texts, as many hits at a time as fit in memory
+            mine = slice(lo_t, hi_t)
+            c = sizes[which[mine]]
+            place = np.repeat(at[mine], c)
+            who = holder[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[which[mine]], c)]
+            pair = text_of[place].astype(np.int64) * texts + who
+            longer = length_of[place] > 1
+            span = np.unique(np.concatenate([pair * width + place, pair[longer] * width + place[longer] - 1]))
+            out.append(np.unique(span // width, return_counts=True))
+        pairs, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pairs // texts, pairs % texts, counts
+
+
+def _portions(at: np.ndarray, text_of: np.ndarray, hits: np.ndarray):
+    """Bounds of runs of entries of whole texts with about HELD hits each; entries may come in two ordered parts."""
+    ends = np.append(np.flatnonzero(np.diff(text_of[at])) + 1, len(at))
+    upto = np.cumsum(hits)[ends - 1]
+    cuts = np.searchsorted(upto, np.arange(HELD, upto[-1], HELD))
+    bounds = np.unique(np.concatenate([[0], ends[cuts[cuts < len(ends)]], [len(at)]]))
+    yield from zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
 
 
 def _flat(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, and the number of ids of each cell."""
-    return np.frombuffer(b"".join(cells), np.uint32), np.array([len(x) for x in cells], np.int64) // 4
+    return np.frombuffer(b"".join(cells), np.uint64), np.array([len(x) for x in cells], np.int64) // 8
 
 
-def match_shard(shard: np.ndarray, side: np.ndarray, cls: np.ndarray, cells: list[bytes]) -> list[tuple[int, int]]:
-    """``(evaluation class, training class)`` of the matching questions of one task's shards."""
-    both = np.intersect1d(shard[side == 0], shard[side == 1])
-    keep = np.flatnonzero(np.isin(shard, both))
-    if not len(keep):
-        return []
-    keep = keep[np.lexsort((keep, side[keep]))]
-    number = np.searchsorted(both, shard[keep]).astype(np.uint64) + np.uint64(1)
-    cells = [cells[i] for i in keep]
-    ids, sizes = _flat(cells)
-    # the shard's number and the word make the symbol
-    symbols = (np.repeat(number, sizes) << np.uint64(32)) | ids.astype(np.uint64)
-    ends = np.cumsum(sizes)
-    cut = int((side[keep] == 0).sum())
-    index = BackwardIndex(symbols[: ends[cut - 1]], sizes[:cut])
-    ev_sizes, found = sizes[:cut], []
-    for k in range(cut, len(keep), 8192):
-        mine = sizes[k : k + 8192]
-        text_of = np.repeat(np.arange(len(mine)), mine)
-        width = int(ends[-1]) + 1
-        covers = []
-        for where, place in index.shared_runs(symbols[ends[k - 1] : ends[k + len(mine) - 1]], text_of, np.repeat(mine, mine)):
-            pair = text_of[where].astype(np.int64) * cut + np.searchsorted(index.starts, place, side="right") - 1
-            # spans on all diagonals merge to the words of the training text that are covered
-            several = mine[text_of[where]] > 1
-            covers.append(np.unique(np.concatenate([pair * width + where, pair[several] * width + where[several] - 1])))
-        cover = np.unique(np.concatenate(covers)) if covers else np.zeros(0, np.int64)
-        if not len(cover):
-            continue
-        pairs, covered = np.unique(cover // width, return_counts=True)
-        n, m = mine[pairs // cut], ev_sizes[pairs % cut]
-        long, short = np.maximum(n, m), np.minimum(n, m)
-        need = -(-4 * long // 5)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _needed(n: np.ndarray) -> np.ndarray:
+    return -(-4 * n // 5)
+
+
+def match_texts(e_group, e_cells: list[bytes], t_group, t_cells: list[bytes]) -> set[tuple[int, int]]:
+    """Numbers ``(evaluation text, training text)`` of the matching texts of equal group numbers."""
+    (e_ids, m), (t_ids, n) = _flat(e_cells), _flat(t_cells)
+    salt = [_mixed(np.repeat(np.asarray(g, np.uint64) + np.uint64(1), z)) for g, z in ((e_group, m), (t_group, n))]
+    index = CompressedIndex(_mixed(e_ids ^ salt[0]), m)
+    stream, ends = _mixed(t_ids ^ salt[1]), np.concatenate([[0], np.cumsum(n)])
+    found = set()
+    for k in range(0, len(n), 4096):
+        mine = n[k : k + 4096]
+        t, e, covered = index.covered(stream[ends[k] : ends[k + len(mine)]], np.repeat(np.arange(len(mine)), mine), np.repeat(mine, mine))
+        long, short = np.maximum(mine[t], m[e]), np.minimum(mine[t], m[e])
+        need = _needed(long)
         # of w common words in order, at most n + m - 2 w are runs of one word
-        least = np.maximum(np.minimum(2, short), 3 * need - n - m)
-        for p in pairs[(short >= need) & (covered >= least)].tolist():
-            a, b = p % cut, k + p // cut
-            if cells[a] == cells[b] or alike(np.frombuffer(cells[a], np.uint32).tolist(), np.frombuffer(cells[b], np.uint32).tolist()):
-                found.append((int(cls[keep[a]]), int(cls[keep[b]])))
+        least = np.maximum(np.minimum(2, short), 3 * need - mine[t] - m[e])
+        ok = (short >= need) & (covered >= least)
+        for a, b in zip(e[ok].tolist(), (t[ok] + k).tolist(), strict=True):
+            if e_cells[a] == t_cells[b] or alike(np.frombuffer(e_cells[a], np.uint64).tolist(), np.frombuffer(t_cells[b], np.uint64).tolist()):
+                found.add((a, b))
     return found
 
 
+def match_shards(shard: list[int], side: list[int], cls: list[int], q: list[bytes], s: list[bytes]) -> list[tuple[int, int]]:
+    """``(evaluation class, training class)`` of the matching records of one task's shards."""
+    sides: list[set] = [set(), set()]
+    for h, k in zip(shard, side, strict=True):
+        sides[k].add(h)
+    number = {h: i for i, h in enumerate(sorted(sides[0] & sides[1]))}
+    if not number:
+        return []
+    texts: list[dict] = [{}, {}]  # of each side: (group, words) -> number; a text stands in the index once for each shard
+    records: list[dict] = [{}, {}]  # (question's text, passage's text) -> classes
+    for h, k, c, a, b in zip(shard, side, cls, q, s, strict=True):
+        if h in number:
+            g, of = 2 * number[h], texts[k]
+            key = of.setdefault((g, a), len(of)), of.setdefault((g + 1, b), len(of))
+            records[k].setdefault(key, []).append(c)
+    alike_texts = match_texts([x[0] for x in texts[0]], [x[1] for x in texts[0]], [x[0] for x in texts[1]], [x[1] for x in texts[1]])
+    partners: dict[int, list[int]] = {}
+    for a, b in alike_texts:
+        partners.setdefault(a, []).append(b)
+    by_passage: dict[int, list] = {}
+    for key in records[1]:
+        by_passage.setdefault(key[1], []).append(key)
+    out = []
+    for (a, b), mine in records[0].items():
+        for passage in partners.get(b, ()):
+            for key in by_passage.get(passage, ()):
+                if (a, key[0]) in alike_texts:
+                    out += [(e, t) for e in mine for t in records[1][key]]
+    return out
+
+
 _ROWS = "pair_id long, split string, train byte, qk binary, sk binary, q binary, s binary"
 
 
 def records(pairs: DataFrame) -> DataFrame:
     """``(pair_id, split, train, qk, sk, q, s)``: word ids of question and passage, and their digests.
 
-    A passage's words are given with its first record in a task, NULL with the others.
+    A text's words are given with its first record in a task, NULL with the others.
     """
 
     def read(it):
@@ -238,13 +320,15 @@ def records(pairs: DataFrame) -> DataFrame:
                 if not qw or not sw:
                     continue
                 train = int(split == "train")
-                sk = hashlib.md5(sw).digest()
-                first = sk + bytes([train]) not in seen
-                if first:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(sk + bytes([train]))
-                rows.append((rid, split, train, hashlib.md5(qw).digest(), sk, qw, sw if first else None))
+                keys = hashlib.md5(qw).digest(), hashlib.md5(sw).digest()
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                new = []
+                for kind, key, words in ((b"q", keys[0], qw), (b"s", keys[1], sw)):
+                    mark = kind + key + bytes([train])
+                    new.append(None if mark in seen else words)
+                    seen.add(mark)
+                rows.append((rid, split, train, *keys, *new))
             cols = zip(*rows, strict=True) if rows else [[]] * 7
             types = pa.int64(), pa.string(), pa.int8(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["pair_id", "split", "train", "qk", "sk", "q", "s"])
@@ -262,8 +346,12 @@ def frequent_ids(texts: DataFrame, column: str, least: float) -> tuple[np.ndarra
         held = None
         for b in it:
             ids, sizes = _flat(b.column(0).to_pylist())
-            once = np.unique(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | ids.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-            u, n = np.unique(once, return_counts=True)
+            text_of = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((ids, text_of))
+            ids, text_of = ids[order], text_of[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (text_of[1:] != text_of[:-1])
+            u, n = np.unique(ids[new], return_counts=True)
             if held is not None:
                 u, at = np.unique(np.concatenate([held[0], u]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([held[1], n])).astype(np.int64)
@@ -275,27 +363,17 @@ def frequent_ids(texts: DataFrame, column: str, least: float) -> tuple[np.ndarra
             yield _counts(*held)
 
     got = texts.select(column).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
-    pairs = sorted((r["word"], r["n"]) for r in got)
-    return np.array([x[0] for x in pairs], np.uint32), np.array([x[1] for x in pairs], np.int64)
+    words, counts = np.array([r["word"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(words)
+    return words[order], counts[order]
 
 
 def _counts(u, n):
-    return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n)], names=["word", "n"])
-
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
-
-def passage_keys(cells: list[bytes], frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, key)``: keys of which any two matching passages have one in common.
-
-    Passages that match have all but ``n - needed(n)`` words of each in common,
-    so of the words in any one order (rarest first, repeats numbered) the first
-    that both have is among the first ``n - needed(n) + 1`` of each.
-    """
+def heads(cells: list[bytes], frequent: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The words of each text, rarest first and repeats numbered, as far as buckets of any depth need them."""
     ids, sizes = _flat(cells)
     text_of = np.repeat(np.arange(len(sizes)), sizes)
     df = np.zeros(len(ids), np.int64)
@@ -303,301 +381,202 @@ def passage_keys(cells: list[bytes], frequent: np.ndarray, counts: np.ndarray) -
         nearest = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
         df = np.where(frequent[nearest] == ids, counts[nearest], 0)
     order = np.lexsort((ids, df, text_of))
-    w, at = ids[order].astype(np.uint64), np.arange(len(ids))
+    w, at = ids[order], np.arange(len(ids))
     new = np.ones(len(ids), bool)
     new[1:] = (w[1:] != w[:-1]) | (text_of[1:] != text_of[:-1])
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    key = _mixed(w | nth.astype(np.uint64) << np.uint64(32)).view(np.int64)
-    head = at - np.repeat(np.cumsum(sizes) - sizes, sizes) <= np.repeat(sizes + (-4 * sizes) // 5, sizes)
-    return text_of[head], key[head]
+    key = _mixed(w + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ends = np.cumsum(sizes)
+    return [key[e - n : e - n + min(n, n - needed(n) + DEPTH)].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def sketches(cells: list[bytes]) -> np.ndarray:
-    """256 bits for each passage: a bit that one has and another lacks stands for a word that they don't share."""
+    """256 bits for each text: a bit that one has and another lacks stands for a word that they don't share."""
     ids, sizes = _flat(cells)
     text_of = np.repeat(np.arange(len(sizes)), sizes)
     bits = np.zeros((len(sizes), 4), np.uint64)
-    np.bitwise_or.at(bits, (text_of, (ids >> np.uint32(6)) & np.uint32(3)), np.uint64(1) << (ids & np.uint32(63)).astype(np.uint64))
+    np.bitwise_or.at(bits, (text_of, (ids >> np.uint64(6)) & np.uint64(3)), np.uint64(1) << (ids & np.uint64(63)))
     return bits.view(np.int64)
 
 
-def _wide(hashes: np.ndarray, text_of: np.ndarray, count: int) -> np.ndarray:
-    """1,024 bits for each text."""
-    bits = np.zeros((count, 16), np.uint64)
-    np.bitwise_or.at(bits, (text_of, (hashes >> np.uint64(6)) & np.uint64(15)), np.uint64(1) << (hashes & np.uint64(63)))
-    return bits
-
-
-def match_block(e: list[bytes], t: list[bytes]) -> list[tuple[int, int]]:
-    """Places of the matching passages of two lists: every pair is compared by bounds that no match can break, then exactly."""
-
-    def drawn(cells):
-        ids, sizes = _flat(cells)
-        text_of = np.repeat(np.arange(len(sizes)), sizes)
-        run = np.flatnonzero(text_of[1:] == text_of[:-1])
-        two = _mixed(ids[run].astype(np.uint64) << np.uint64(32) | ids[run + 1].astype(np.uint64))
-        return sizes, np.unpackbits(sketches(cells).view(np.uint8), axis=1).astype(np.float32), _wide(ids.astype(np.uint64) >> np.uint64(8), text_of, len(sizes)), _wide(two, text_of[run], len(sizes))
-
-    orders = [np.argsort([len(c) for c in cells], kind="stable") for cells in (e, t)]
-    (en, eb, ew, e2), (tn, tb, tw, t2) = (drawn([cells[i] for i in o]) for cells, o in zip((e, t), orders, strict=True))
-    # a passage can lack at most n - needed words of the other
-    slack_e, slack_t = eb.sum(1) - en, tb.sum(1) - tn
-    least = slack_e + -(-4 * en // 5)
-    out = []
-    for k in range(0, len(en), STRIP):
-        mine = en[k : k + STRIP]
-        lo, hi = np.searchsorted(tn, -(-4 * mine[0] // 5)), np.searchsorted(tn, mine[-1] * 5 // 4, side="right")
-        for j in range(lo, hi, 4096):
-            common = eb[k : k + STRIP] @ tb[j : min(j + 4096, hi)].T
-            at = np.flatnonzero((common >= least[k : k + STRIP, None]).ravel())
-            shared = common.ravel()[at]
-            a, b = at // common.shape[1] + k, at % common.shape[1] + j
-            n, m = en[a], tn[b]
-            need = -(-4 * np.maximum(n, m) // 5)
-            ok = (np.minimum(n, m) >= need) & (shared >= slack_e[a] + need) & (shared >= slack_t[b] + need)
-            # of w common words in order all but n + m - 2 w follow one another in both
-            for x, y, spare in ((ew, tw, 0), (e2, t2, 1)):
-                a, b, n, m, need = (v[ok] for v in (a, b, n, m, need))
-                kept = np.maximum(3 * need - n - m - 1, 0) if spare else need
-                ok = (np.bitwise_count(x[a] & ~y[b]).sum(1) <= n - spare - kept) & (np.bitwise_count(y[b] & ~x[a]).sum(1) <= m - spare - kept)
-            out += [(int(p), int(q)) for p, q in zip(orders[0][a[ok]], orders[1][b[ok]], strict=True) if alike(np.frombuffer(e[p], np.uint32).tolist(), np.frombuffer(t[q], np.uint32).tolist())]
-    return out
-
+_NODE = "node long, n int, head binary, w0 long, w1 long, w2 long, w3 long"
 
-def block_pairs(hot: DataFrame) -> DataFrame:
-    """``(es, ts)`` of the matching passages among ``(sid, kind, s)``: all that lengths allow are compared, in blocks."""
-    spark = hot.sparkSession
 
-    def length_class(n):
-        return np.floor(np.log(n) / CLASS_WIDTH).astype(np.int64)
+def prepared(texts: DataFrame) -> DataFrame:
+    """``(node, n, head, w0, w1, w2, w3)`` from ``(node, words)``."""
+    # at most the words of one text times a thousand are so frequent
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_ids(texts, "words", max(8, texts.count() / 1000)))
 
-    def classes(it):
-        for b in it:
-            g = length_class(np.array([len(c) // 4 for c in b.column(2).to_pylist()], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(g), *(pa.array((np.asarray(b.column(1)) & k > 0).astype(np.int64)) for k in (2, 1))], names=["g", "e", "t"])
-
-    # a few hundred classes at most, whatever the number of passages
-    sizes = {r["g"]: (r["e"], r["t"]) for r in hot.mapInArrow(classes, "g long, e long, t long").groupBy("g").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).collect()}
-    chunks = {g: tuple(-(-n // BLOCK) for n in each) for g, each in sizes.items()}
-
-    def spread(it):
-        for b in it:
-            at, block, side = [], [], []
-            sid, kinds = np.asarray(b.column(0)), np.asarray(b.column(1))
-            own = length_class(np.array([len(c) // 4 for c in b.column(2).to_pylist()], np.int64)).tolist()
-            draw = _mixed(sid.view(np.uint64))
-            for i, g in enumerate(own):
-                for s, bit in ((0, 2), (1, 1)):
-                    if kinds[i] & bit:
-                        c = int(draw[i]) % chunks[g][s]
-                        blocks = [(g, c, h, x) if s == 0 else (h, x, g, c) for h in (g - 1, g, g + 1) for x in range(chunks.get(h, (0, 0))[1 - s])]
-                        block += [hash(x) for x in blocks]
-                        at += [i] * len(blocks)
-                        side += [s] * len(blocks)
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(side, pa.int8()), b.column(0).take(where), b.column(2).take(where)], names=["block", "side", "sid", "s"])
-
-    def compare(it):
-        bs = [b for b in it if b.num_rows]
-        if not bs:
-            return
-        t = pa.Table.from_batches(bs)
-        block, side, sid, cells = t["block"].to_numpy(), t["side"].to_numpy(), t["sid"].to_numpy(), t["s"]
-        for x in np.unique(block):
-            e, r = (np.flatnonzero((block == x) & (side == k)) for k in (0, 1))
-            if len(e) and len(r):
-                got = match_block(*(cells.take(pa.array(i)).to_pylist() for i in (e, r)))
-                left, right = (sid[i[[p[k] for p in got]]] if got else np.zeros(0, np.int64) for k, i in enumerate((e, r)))
-                ok = left != right
-                yield pa.RecordBatch.from_arrays([pa.array(left[ok]), pa.array(right[ok])], names=["es", "ts"])
-
-    blocks = sum(chunks[g][0] * chunks.get(h, (0, 0))[1] for g in chunks for h in (g - 1, g, g + 1))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
-    return hot.mapInArrow(spread, "block long, side byte, sid long, s binary").repartition(tasks, "block").mapInArrow(compare, "es long, ts long")
-
-
-_PAIRED = "es long, ts long, key long, kind byte"
-_KEYED = [("sid", pa.int64()), ("key", pa.int64()), ("kind", pa.int8()), ("n", pa.int16())]
-
-
-def _near(limit: int):
-    """Pairs of passages of one key; the entries of keys with more pairs than ``limit`` go on as they are (``ts`` is NULL)."""
-
-    def near(it):
-        bs = [b for b in it if b.num_rows]
-        if not bs:
-            return
-        t = pa.Table.from_batches(bs).sort_by("key")
-        sid, key, kind, n = (t[c].to_numpy() for c, _ in _KEYED)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(key)]])))
-        is_t, is_e = (kind & 1) > 0, (kind & 2) > 0
-        nt, ne = np.bincount(group, is_t).astype(np.int64), np.bincount(group, is_e).astype(np.int64)
-        hot = nt * ne > limit
-        if hot.any():
-            i = hot[group]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.nulls(int(i.sum()), pa.int64()), pa.array(key[i]), pa.array(kind[i])], names=["es", "ts", "key", "kind"])
-        e = np.flatnonzero(is_e & (nt[group] > 0) & ~hot[group])
-        tr = np.flatnonzero(is_t)
-        first = np.searchsorted(group[tr], group[e], side="left")
-        upto = np.cumsum(nt[group[e]])
-        for part in np.split(np.arange(len(e)), np.searchsorted(upto, np.arange(1_000_000, upto[-1] if len(e) else 0, 1_000_000))):
-            if not len(part):
-                continue
-            mine = e[part]
-            times = nt[group[mine]]
-            left = np.repeat(mine, times)
-            right = tr[np.repeat(first[part], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
-            long, short = np.maximum(n[left], n[right]), np.minimum(n[left], n[right])
-            ok = (sid[left] != sid[right]) & ((5 * short.astype(np.int64) >= 4 * long.astype(np.int64)) | (long == 32767))
-            u = np.unique(np.stack([sid[left[ok]], sid[right[ok]]]), axis=1)
-            m = u.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int8())], names=["es", "ts", "key", "kind"])
-
-    return near
-
-
-def passage_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(es, ts)``, numbers of the passages of evaluation records and of the training passages that match them, and ``(sk, sid)``."""
-    spark = rows.sparkSession
-    kinds = rows.where("s is not null").groupBy("sk").agg(F.first("s").alias("s"), F.min("pair_id").alias("sid"), F.max("train").alias("train"), F.max(1 - F.col("train")).alias("eval"))
-    passages = settle(kinds)
-    count = passages.count()
-    common = frequent_ids(passages, "s", max(8, count / 1000))
-    frequent = spark.sparkContext.broadcast(common)
-
-    def keys(it):
-        for b in it:
-            cells = b.column(3).to_pylist()
-            t, x = passage_keys(cells, *frequent.value)
-            sid, kind = np.asarray(b.column(0)), np.asarray(b.column(1)) + 2 * np.asarray(b.column(2))
-            n = np.minimum(np.array([len(c) // 4 for c in cells], np.int64), 32767)
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, (_, k) in zip((sid[t], x, kind[t], n[t]), _KEYED, strict=True)], names=[k for k, _ in _KEYED])
-
-    keyed = passages.select("sid", F.col("train").cast("byte").alias("train"), F.col("eval").cast("byte").alias("eval"), "s").mapInArrow(keys, "sid long, key long, kind byte, n short")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * 20 // 1_000_000)
-    got = settle(keyed.repartition(tasks, "key").mapInArrow(_near(HOT_PAIRS), _PAIRED))
-    pairs = got.where("ts is not null").select("es", "ts").distinct()
-    hot = settle(got.where("ts is null").select(F.col("es").alias("sid"), "kind").distinct())
-
-    def sketch(it):
+    def prepare(it):
         for b in it:
             cells = b.column(1).to_pylist()
             bits = sketches(cells)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(c) // 4 for c in cells], np.int32)), *(pa.array(bits[:, i].copy()) for i in range(4))], names=["sid", "n", "w0", "w1", "w2", "w3"])
-
-    drawn = passages.select("sid", "s").mapInArrow(sketch, "sid long, n int, w0 long, w1 long, w2 long, w3 long")
-    a = drawn.select(F.col("sid").alias("es"), F.col("n").alias("an"), *(F.col(f"w{i}").alias(f"a{i}") for i in range(4)))
-    z = drawn.select(F.col("sid").alias("ts"), F.col("n").alias("zn"), *(F.col(f"w{i}").alias(f"z{i}") for i in range(4)))
-    need = F.ceil(F.greatest("an", "zn") * 4 / 5)
-    lacks = [sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(f"{y}0")))) for x, y in ("az", "za")]
-    likely = settle(pairs.join(a, "es").join(z, "ts").where((lacks[0] <= F.col("an") - need) & (lacks[1] <= F.col("zn") - need)).select("es", "ts"))
-    wanted = likely.select(F.col("es").alias("sid")).union(likely.select(F.col("ts").alias("sid"))).distinct()
-    text = settle(passages.select("sid", "s").join(wanted, "sid", "left_semi"))
-    both = likely.join(text.select(F.col("sid").alias("es"), F.col("s").alias("a")), "es").join(text.select(F.col("sid").alias("ts"), F.col("s").alias("b")), "ts").select("es", "ts", "a", "b")
-
-    def verify(it):
-        for b in it:
-            ok = [alike(np.frombuffer(x, np.uint32).tolist(), np.frombuffer(y, np.uint32).tolist()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            n = pa.array(np.array([len(c) // 8 for c in cells], np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(heads(cells, *frequent.value), pa.binary()), *(pa.array(bits[:, i].copy()) for i in range(4))], names=["node", "n", "head", "w0", "w1", "w2", "w3"])
 
-    same = passages.where("train = 1 and eval = 1").select(F.col("sid").alias("es"), F.col("sid").alias("ts"))
-    linked = both.mapInArrow(verify, "es long, ts long")
-    if not hot.isEmpty():
-        # passages that match and have no key with few pairs in common have a hot one in common, so both are here
-        linked = linked.unionByName(block_pairs(settle(hot.join(passages.select("sid", "s"), "sid").select("sid", "kind", "s")))).distinct()
-    return same.unionByName(linked), passages.select("sk", "sid")
+    return settle(texts.select("node", "words").mapInArrow(prepare, _NODE))
 
 
-#: Number of shared words by the number of words; longer texts use one.
-QUESTION_SHARES = ((24, 5), (40, 3), (100, 2))
+def _deeper(depth: int):
+    """Entries one word deeper than ``depth``: ``(key, last, side, node, final, above)``."""
 
+    def step(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            key, last, above, node, side, n = (np.asarray(b.column(i)) for i in range(6))
+            flat, have = _flat(b.column(6).to_pylist())
+            n = n.astype(np.int64)
+            upto = np.minimum(n - _needed(n) + depth + 1, have)
+            count = np.maximum(upto - last - 1, 0)
+            row = np.repeat(np.arange(len(n)), count)
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + last[row] + 1
+            word = flat[(np.cumsum(have) - have)[row] + at]
+            grown = _mixed(key[row].view(np.uint64) * np.uint64(0xD1342543DE82EF95) + word).view(np.int64)
+            final = (_needed(n) <= depth + 1)[row]
+            for k in range(0, len(row), 65536):
+                z = slice(k, k + 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(grown[z]), pa.array(at[z].astype(np.int32)), pa.array(side[row[z]]), pa.array(node[row[z]]), pa.array(final[z].astype(np.int8)), pa.array(above[row[z]])], names=["key", "last", "side", "node", "final", "above"])
+
+    return step
+
+
+_ENTRY = "key long, last int, side byte, node long, final byte, above long"
+
+
+def _compare(it):
+    """Pairs of a task's blocks that lengths and sketches allow."""
+    bs = [b for b in it if b.num_rows]
+    if not bs:
+        return
+    t = pa.Table.from_batches(bs).sort_by("block")
+    block, side, node, lone, n = (t[c].to_numpy() for c in ("block", "side", "node", "lone", "n"))
+    bits = np.stack([t[f"w{i}"].to_numpy() for i in range(4)], 1).view(np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(block))))
+    n = n.astype(np.int64)
+    e, tr = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    times_of = np.bincount(group[tr], minlength=len(starts))[group[e]]
+    first = np.searchsorted(group[tr], group[e], side="left")
+    upto = np.cumsum(times_of)
+    for part in np.split(np.arange(len(e)), np.searchsorted(upto, np.arange(HELD, upto[-1] if len(e) else 0, HELD))):
+        times = times_of[part]
+        left = np.repeat(e[part], times)
+        right = tr[np.repeat(first[part], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+        # a pair of which neither is final here is found one word deeper
+        ok = (node[left] != node[right]) & ((lone[left] | lone[right]) > 0) & (5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right]))
+        left, right = left[ok], right[ok]
+        need = _needed(np.maximum(n[left], n[right]))
+        for i in range(4):  # words lacking on either side, a quarter of the bits at a time
+            both = bits[left, i] & bits[right, i]
+            lack = np.bitwise_count(bits[left, i] & ~both).astype(np.int64), np.bitwise_count(bits[right, i] & ~both).astype(np.int64)
+            missing = lack if i == 0 else (missing[0] + lack[0], missing[1] + lack[1])
+            ok = (missing[0] <= n[left] - need) & (missing[1] <= n[right] - need)
+            left, right, need, missing = left[ok], right[ok], need[ok], (missing[0][ok], missing[1][ok])
+        if len(left):
+            u = np.unique(np.stack([node[left], node[right]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["e", "t"])
+
+
+def candidates(seats: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(e, t)``: nodes of side 0 and 1 of one base whose texts could match; every pair that matches is among them.
+
+    ``seats``: ``(base, side, node, n, head)``, one row for each side and base of
+    a node; ``nodes``: see :func:`prepared`.  Buckets of equal first common words
+    are split by one more word while they have more than ``HOT_PAIRS`` pairs and
+    a word still splits them.
+    """
+    spark = nodes.sparkSession
+    parents = seats.select(F.col("base").alias("key"), F.lit(-1).alias("last"), F.lit(2**62).alias("above"), "node", "side", "n", "head")
+    levels = []
+    for depth in range(DEPTH):
+        entries = parents.mapInArrow(_deeper(depth), _ENTRY)
+        loads = entries.groupBy("key").agg(F.sum(1 - F.col("side")).alias("e"), F.sum("side").alias("t"), F.sum("final").alias("finals"), F.max("above").alias("above"))
+        pairs = F.col("e") * F.col("t")
+        # of a bucket nothing splits any more all pairs are compared, of another hot one those with a final text
+        whole = (pairs <= HOT_PAIRS) | (2 * pairs > F.col("above")) | F.lit(depth + 1 == DEPTH)
+        state = loads.where("e > 0 and t > 0").select("key", "e", "t", whole.alias("whole"), (F.col("finals") > 0).alias("some"))
+        level = settle(entries.drop("above").join(state, "key"))
+        levels.append(level)
+        split = level.where("not whole and final = 0")
+        if split.isEmpty():
+            break
+        parents = split.select("key", "last", (F.col("e") * F.col("t")).alias("above"), "node", "side").join(nodes.select("node", "n", "head"), "node").select("key", "last", "above", "node", "side", "n", "head")
+    met = reduce(DataFrame.unionAll, [x.where("whole or some").select("key", "side", "node", "e", "t", (F.col("whole") | (F.col("final") > 0)).cast("byte").alias("lone")) for x in levels])
+    # a bucket of more than BLOCK texts of a side is met block by block
+    hot = F.col("e") * F.col("t") > HOT_PAIRS
+    mine, others = (F.when(hot, F.ceil(F.when(F.col("side") == k, F.col("e")).otherwise(F.col("t")) / BLOCK)).otherwise(1) for k in (0, 1))
+    own, other = F.pmod(F.xxhash64("node"), mine), F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long") - 1))
+    spread = met.select("key", "side", "node", "lone", own.alias("own"), other.alias("other"))
+    block = F.xxhash64("key", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
+    placed = spread.select(block.alias("block"), "side", "node", "lone").join(nodes.drop("head"), "node").select("block", "side", "node", "lone", "n", "w0", "w1", "w2", "w3")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, sum(x.count() for x in levels) // 250_000)
+    out = settle(placed.repartition(tasks, "block").mapInArrow(_compare, "e long, t long").distinct())
+    for x in levels:
+        drop_settled(x)
+    return out
 
-def prefix_keys(words: list[int], frequent: dict[int, int], share: int, shares=QUESTION_SHARES) -> list[int]:
-    """Keys of which any two matching questions have one in common: combinations of ``share`` of the rarest words of each.
 
-    Two questions that match have all but ``n - needed(n)`` words of each in
-    common, so ``share`` of the first ``n - needed(n) + share`` words in any one
-    order (fewer where that many needn't be shared).
-    """
-    n = len(words)
-    seen: dict[int, int] = {}
-    numbered = []
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-        numbered.append((frequent.get(w, 0), w, seen[w]))
-    numbered.sort()
-    out = set()
-    # a partner has between four fifths and five fourths as many words, and both must use the same number of shared words
-    for c in {_shared(m, share, shares) for m in range(max(1, needed(n)), n * 5 // 4 + 1)}:
-        if c <= needed(n):
-            for combo in combinations(numbered[: n - needed(n) + c], c):
-                out.add(hash((c, *(x[1:] for x in combo))))
-    return sorted(out)
-
-
-def _shared(n: int, share: int, shares) -> int:
-    """Long texts share fewer, or their combinations would be too many."""
-    return max(1, min(share, needed(n), next((c for most, c in shares if n <= most), 1)))
+def question_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(es, ts)``, numbers of the questions of evaluation and of training records that could match, and ``(qk, qid, q)``."""
+    kinds = rows.where("q is not null").groupBy("qk").agg(F.first("q").alias("q"), F.min("pair_id").alias("qid"), F.max("train").alias("train"), F.max(1 - F.col("train")).alias("eval"))
+    questions = settle(kinds)
+    nodes = prepared(questions.select(F.col("qid").alias("node"), F.col("q").alias("words")))
+    sides = F.filter(F.array(F.when(F.col("eval") == 1, F.lit(0).cast("byte")), F.when(F.col("train") == 1, F.lit(1).cast("byte"))), lambda x: x.isNotNull())
+    seats = questions.select(F.col("qid").alias("node"), F.explode(sides).alias("side")).join(nodes, "node").select(F.lit(0).cast("long").alias("base"), "side", "node", "n", "head")
+    near = candidates(seats, nodes).select(F.col("e").alias("es"), F.col("t").alias("ts"))
+    same = questions.where("train = 1 and eval = 1").select(F.col("qid").alias("es"), F.col("qid").alias("ts"))
+    return same.unionByName(near), questions.select("qk", "qid", "q")
 
 
 def class_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(e, t)`` of matching classes and ``(pair_id, split, train, cls)`` of every record; a class is one word sequence on one side."""
     spark = rows.sparkSession
-    found, numbers = passage_links(rows)
+    found, questions = question_links(rows)
     links = settle(found)
-    named = rows.select("pair_id", "split", "train", "sk", "qk", "q").join(numbers, "sk").select("pair_id", "split", "train", "sid", "qk", "q")
-    # only records of passages with a partner on the other side can match
-    ends = links.select(F.col("es").alias("sid"), F.lit(0).cast("byte").alias("train")).union(links.select(F.col("ts"), F.lit(1).cast("byte"))).distinct()
-    live = settle(named.join(ends, ["sid", "train"]))
-    classes = settle(live.groupBy("train", "sid", "qk").agg(F.min("pair_id").alias("cls"), F.first("q").alias("q")))
-    members = live.select("pair_id", "split", "train", "sid", "qk").join(classes.select("train", "sid", "qk", "cls"), ["train", "sid", "qk"]).select("pair_id", "split", "train", "cls")
-    # a link is followed in the shard of its larger passage, so the records of a much-used passage stay where they are
-    sizes = classes.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    sized = links.join(sizes.select(F.col("sid").alias("es"), F.col("n").alias("en")), "es").join(sizes.select(F.col("sid").alias("ts"), F.col("n").alias("tn")), "ts")
+    # only records of questions with a partner on the other side can match
+    ends = links.select(F.col("es").alias("qid"), F.lit(0).cast("byte").alias("train")).union(links.select(F.col("ts"), F.lit(1).cast("byte"))).distinct()
+    named = rows.select("pair_id", "split", "train", "sk", "qk").join(questions.select("qk", "qid"), "qk").select("pair_id", "split", "train", "qid", "sk")
+    live = settle(named.join(ends, ["qid", "train"]))
+    classes = settle(live.groupBy("train", "qid", "sk").agg(F.min("pair_id").alias("cls")))
+    members = live.join(classes, ["train", "qid", "sk"]).select("pair_id", "split", "train", "cls")
+    # a link is followed in the shard of its larger question, so the records of a much-used question stay where they are
+    sizes = classes.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    sized = links.join(sizes.select(F.col("qid").alias("es"), F.col("n").alias("en")), "es").join(sizes.select(F.col("qid").alias("ts"), F.col("n").alias("tn")), "ts")
     routed = sized.select("es", "ts", F.when(F.struct("en", "es") >= F.struct("tn", "ts"), F.col("es")).otherwise(F.col("ts")).alias("shard"))
-    routes = routed.select("shard", F.col("es").alias("sid"), F.lit(0).cast("byte").alias("train")).union(routed.select("shard", F.col("ts"), F.lit(1).cast("byte"))).distinct()
-    entries = classes.join(routes, ["sid", "train"]).select("shard", F.col("train").alias("side"), "cls", "q")
-    load = entries.groupBy("shard").agg(F.sum(1 - F.col("side")).alias("e"), F.sum("side").alias("t"))
-    loads = settle(load.where("e > 0 and t > 0"))
+    routes = settle(routed.select("shard", F.col("es").alias("qid"), F.lit(0).cast("byte").alias("train")).union(routed.select("shard", F.col("ts"), F.lit(1).cast("byte"))).distinct())
+    entries = classes.join(routes, ["qid", "train"]).select("shard", F.col("train").alias("side"), "cls")
+    loads = settle(entries.groupBy("shard").agg(F.sum(1 - F.col("side")).alias("e"), F.sum("side").alias("t")).where("e > 0 and t > 0"))
+    passages = rows.where("s is not null").select("sk", "s").join(classes.select("sk"), "sk", "left_semi").groupBy("sk").agg(F.first("s").alias("s"))
+    bodies = settle(classes.join(passages, "sk").join(questions.select("qid", "q"), "qid").select("cls", "q", "s"))
     hot = loads.where(F.col("e") * F.col("t") > SHARD_PAIRS).select("shard")
-    total, largest = loads.agg(F.sum(F.col("e") + F.col("t")), F.max(F.when(F.col("e") * F.col("t") > SHARD_PAIRS, F.col("e") + F.col("t")))).first()
-    total = total or 0
-    if largest:
-        counts = frequent_ids(classes, "q", max(4, classes.count() / 1000))
-        words = spark.sparkContext.broadcast(dict(zip(*(x.tolist() for x in counts), strict=True)))
-        # larger shards are dealt by more shared words, so that sub-shards stay small
-        share = 2 if largest < 5_000 else 3 if largest < 50_000 else 4 if largest < 250_000 else 5
-
-        def deal(it):
-            for b in it:
-                shard, at = [], []
-                for i, (s, q) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    keys = prefix_keys(np.frombuffer(q, np.uint32).tolist(), words.value, share)
-                    shard += [hash((s, k)) for k in keys]
-                    at += [i] * len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *(b.column(j).take(pa.array(at, pa.int64())) for j in (1, 2, 3))], names=["shard", "side", "cls", "q"])
-
-        dealt = entries.join(hot, "shard", "left_semi").select("shard", "side", "cls", "q").mapInArrow(deal, "shard long, side byte, cls long, q binary")
-        entries = entries.join(hot, "shard", "left_anti").select("shard", "side", "cls", "q").unionAll(dealt)
-        total *= 5
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 100_000)
+    cold = entries.join(loads.where(F.col("e") * F.col("t") <= SHARD_PAIRS).select("shard"), "shard", "left_semi")
+    total = loads.agg(F.sum(F.col("e") + F.col("t"))).first()[0] or 0
+    if not hot.isEmpty():
+        dealt = settle(entries.join(hot, "shard", "left_semi").select(F.col("shard").alias("base"), F.col("cls").alias("node"), "side"))
+        nodes = prepared(settle(bodies.join(dealt.select(F.col("node").alias("cls")), "cls", "left_semi").select(F.col("cls").alias("node"), F.col("s").alias("words"))))
+        near = candidates(dealt.join(nodes, "node").select("base", "side", "node", "n", "head"), nodes)
+        # records with one passage meet by it, others by the buckets of their words; each evaluation record is then a shard of its own
+        of = entries.join(hot, "shard", "left_semi").join(classes.select("cls", "sk"), "cls")
+        same = of.where("side = 0").select("shard", "sk", F.col("cls").alias("e")).join(of.where("side = 1").select("shard", "sk", F.col("cls").alias("t")), ["shard", "sk"]).select("e", "t")
+        near = settle(near.unionByName(same).distinct())
+        own = F.xxhash64(F.lit("record"), "e").alias("shard")
+        cold = cold.unionByName(near.select(own, F.lit(0).cast("byte").alias("side"), F.col("e").alias("cls")).distinct()).unionByName(near.select(own, F.lit(1).cast("byte").alias("side"), F.col("t").alias("cls")))
+        total += 2 * near.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 40_000)
 
     def match(it):
         bs = [b for b in it if b.num_rows]
         if not bs:
             return
-        t = pa.Table.from_batches(bs)
-        got = match_shard(t["shard"].to_numpy(), t["side"].to_numpy(), t["cls"].to_numpy(), t["q"].to_pylist())
+        got = match_shards(*(pa.Table.from_batches(bs)[c].to_pylist() for c in ("shard", "side", "cls", "q", "s")))
         if got:
-            e, t_ = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t_, pa.int64())], names=["e", "t"])
-
-    hits = settle(entries.repartition(tasks, "shard").mapInArrow(match, "e long, t long").distinct())
-    # passages that meet in a shard are both like its larger one, not always like each other
-    of = classes.select("cls", "sid")
-    sided = hits.join(of.select(F.col("cls").alias("e"), F.col("sid").alias("es")), "e").join(of.select(F.col("cls").alias("t"), F.col("sid").alias("ts")), "t")
-    return sided.join(links, ["es", "ts"], "left_semi").select("e", "t"), members
+            e, t = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t, pa.int64())], names=["e", "t"])
+
+    whole = cold.join(bodies, "cls").select("shard", "side", "cls", "q", "s")
+    return whole.repartition(tasks, "shard").mapInArrow(match, "e long, t long").distinct(), members
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
