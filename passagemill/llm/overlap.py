@@ -49,16 +49,17 @@ SHARD_PAIRS = 250_000
 #: Pairs and hits held at a time.
 HELD = 1_000_000
 
-_seen: dict[str, int] = {}
+class _Digests(dict):
+    """Eight bytes for each word; remembers the words it has seen."""
 
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = hashlib.blake2b(word.encode(), digest_size=8).digest()
+        return got
 
-def _word(w: str) -> int:
-    h = _seen.get(w)
-    if h is None:
-        if len(_seen) > 500_000:
-            _seen.clear()
-        h = _seen[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-    return h
+
+_DIGESTS = _Digests()
 
 
 _RUN = re.compile(r"[^\W_]+")
@@ -76,7 +77,7 @@ def split_words(text: str) -> list[str]:
 
 def word_ids(words: list[str]) -> bytes:
     """A 64-bit id for each word."""
-    return np.fromiter((_seen.get(w) or _word(w) for w in words), np.uint64, len(words)).tobytes()
+    return b"".join([_DIGESTS[w] for w in words])
 
 
 def common_words(a, b) -> int:
@@ -455,14 +456,19 @@ def _compare(it):
     starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(block))))
     n = n.astype(np.int64)
+    fold, slack = np.bitwise_or.reduce(bits, axis=1), (n - _needed(n)).astype(np.uint8 if n.max() < 1000 else np.int64)
     e, tr = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     times_of = np.bincount(group[tr], minlength=len(starts))[group[e]]
     first = np.searchsorted(group[tr], group[e], side="left")
+    fold_t, slack_t = fold[tr], slack[tr]
     upto = np.cumsum(times_of)
     for part in np.split(np.arange(len(e)), np.searchsorted(upto, np.arange(HELD, upto[-1] if len(e) else 0, HELD))):
-        times = times_of[part]
-        left = np.repeat(e[part], times)
-        right = tr[np.repeat(first[part], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+        times, mine = times_of[part], e[part]
+        right = np.repeat(first[part] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        a, b = np.repeat(fold[mine], times), fold_t[right]
+        # the bits of all four quarters together reject most pairs of short texts
+        near = np.flatnonzero((np.bitwise_count(a & ~b) <= np.repeat(slack[mine], times)) & (np.bitwise_count(b & ~a) <= slack_t[right]))
+        left, right = np.repeat(mine, times)[near], tr[right[near]]
         # a pair of which neither is final here is found one word deeper
         ok = (node[left] != node[right]) & ((lone[left] | lone[right]) > 0) & (5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right]))
         left, right = left[ok], right[ok]
