@@ -6,18 +6,19 @@ that rule, ties by the latest ``updated_at`` and the smallest id.  A field
 without one (split tag, cluster) takes the group's current value by currency
 reasoning: from groups whose values are timestamped, count how often each value
 is followed by each other one; a value precedes another if it does so in more
-groups than the reverse; in each group these precedences and the known
-timestamps form a partial order whose topologically latest value survives, also
-where timestamps are missing.
+groups than the reverse, or by a chain of such precedences; in each group these
+and the known timestamps form a partial order whose topologically latest value
+survives, also where timestamps are missing.
 
-Defined results: a group without any real answer (score, keyword) names no row
-for it; NULL timestamps are earliest for ties; scores outside [0, 1], NaN and
-NULL don't count; unlisted and unnamed files are least trusted; an empty table
-gives no rows.
+Defined results: a group without any real answer (score) names no row for it; a
+cell without keywords has zero values and stands behind any other; NULL
+timestamps are earliest for ties; scores outside [0, 1], NaN and NULL don't
+count; unlisted and unnamed files are least trusted; an empty table gives no
+rows.
 
 Stand-in answers are found in the data: an answer's writing that stands with
-many different questions is no answer to any of them, next to the usual words
-for "nothing here" and answers without letters or digits.
+``LEAST_QUESTIONS`` different questions is no answer to any of them, next to the
+usual marks for "nothing here" and answers without letters or digits.
 """
 
 from __future__ import annotations
@@ -31,11 +32,9 @@ from passagemill.operators.packed import unpack
 from passagemill.runtime import settle
 
 #: Folded writings that never answer anything (fixed values).
-STAND_INS = ("na", "none", "null", "unknown", "todo", "tbd", "tba", "empty", "missing", "pending", "seeabove", "seebelow", "noanswer", "notavailable", "notapplicable", "placeholder", "loremipsum", "xxx", "nil", "undefined", "notprovided", "notfound", "error")
-#: Phrases in which an importer or a service speaks about a missing answer (fixed values).
-STAND_IN_PHRASES = r"(?i)^[\[(<{ ]*(error\s*:|traceback|exception\s*:|no answer (could|was|is|available)|(the )?answer (is|was|has been)?\s*(missing|removed|not available|unavailable|pending|lost|withheld))"
-#: An answer that stands with at least so many different questions, and with at least this share of them, is a stand-in.
-LEAST_QUESTIONS, LEAST_SHARE = 5, 0.0005
+STAND_INS = ("na", "none", "null", "nil", "unknown", "undefined", "empty", "missing", "todo", "tbd", "tba", "seeabove", "seebelow")
+#: An answer that stands with at least so many different questions is a stand-in, at every size of the table.
+LEAST_QUESTIONS = 5
 
 
 #: Columns of the pair table that are read.
@@ -47,18 +46,15 @@ def _folded(c: Column) -> Column:
 
 
 def shared_answers(pairs: DataFrame) -> DataFrame:
-    """``(answer_key)`` of the answers that stand with many different questions; a share of the questions bounds their number."""
+    """``(answer_key)`` of the answers that stand with ``LEAST_QUESTIONS`` different questions."""
     keyed = pairs.where(~is_missing(F.col("answer"))).select(F.xxhash64(_folded(F.col("answer"))).alias("answer_key"), F.xxhash64(same_writing(F.col("question"))).alias("q"))
-    counts = keyed.groupBy("answer_key").agg(F.approx_count_distinct("q", 0.02).alias("n"), F.count(F.lit(1)).alias("rows"))
-    # only answers of at least LEAST_QUESTIONS rows can qualify, and at most 1 / LEAST_SHARE of them have the share
-    total = keyed.agg(F.approx_count_distinct("q", 0.02)).first()[0] or 0
-    return counts.where(F.col("n") >= max(LEAST_QUESTIONS, LEAST_SHARE * total)).select("answer_key")
+    return keyed.distinct().groupBy("answer_key").count().where(F.col("count") >= LEAST_QUESTIONS).select("answer_key")
 
 
 def real_answer(answer: Column, is_shared: Column) -> Column:
     """True for an answer that is present and no stand-in."""
     folded = _folded(answer)
-    return ~is_missing(answer) & (folded != "") & ~folded.isin(*STAND_INS) & ~answer.rlike(STAND_IN_PHRASES) & ~is_shared
+    return ~is_missing(answer) & (folded != "") & ~folded.isin(*STAND_INS) & ~is_shared
 
 
 def _ranked(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -76,7 +72,7 @@ def _ranked(pairs: DataFrame, files: DataFrame) -> DataFrame:
         "first_id", "copies", "pair_id", "updated_at", "answer", "relevance_score", "keywords",
         F.when(real_answer(F.col("answer"), F.coalesce("shared", F.lit(False))), F.length(strip_all(F.col("answer")))).alias("answer_rank"),
         F.when(score.isNotNull() & ~F.isnan(score) & score.between(0.0, 1.0), F.coalesce("trust", F.lit(-(2**31)))).alias("score_rank"),
-        F.col("n_keywords").alias("keywords_rank"),
+        F.coalesce("n_keywords", F.lit(0)).alias("keywords_rank"),
     )
 
 
@@ -94,6 +90,17 @@ def survivors_found(pairs: DataFrame, files: DataFrame) -> DataFrame:
     ).withColumnRenamed("first_id", "first_pair_id")
 
 
+def _closed(precedes: DataFrame) -> DataFrame:
+    """The precedences and all that follow from chains of them; values that precede each other both ways have none."""
+    steps = settle(precedes)
+    known = fresh = steps
+    while not fresh.isEmpty():
+        longer = fresh.join(steps.select(F.col("older").alias("newer"), F.col("newer").alias("last")), "newer").select("older", F.col("last").alias("newer")).where("older <> newer").distinct()
+        fresh = settle(longer.join(known, ["older", "newer"], "left_anti"))
+        known = settle(known.unionByName(fresh))
+    return known.join(known.select(F.col("newer").alias("older"), F.col("older").alias("newer")), ["older", "newer"], "left_anti")
+
+
 def current_values(rows: DataFrame, group: str, field: str, at: str) -> DataFrame:
     """``(group, field)``: the current value of a categorical field in each group, by currency reasoning.
 
@@ -107,7 +114,7 @@ def current_values(rows: DataFrame, group: str, field: str, at: str) -> DataFram
     stamped = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.last") < F.col("b.last")))
     moves = stamped.groupBy(F.col("a.v").alias("older"), F.col("b.v").alias("newer")).count()
     net = moves.unionByName(moves.select(F.col("newer").alias("older"), F.col("older").alias("newer"), (-F.col("count")).alias("count"))).groupBy("older", "newer").agg(F.sum("count").alias("net"))
-    precedes = net.where("net > 0").select("older", "newer")
+    precedes = _closed(net.where("net > 0").select("older", "newer"))
     # a value is beaten if a timestamp says so or, where one is missing, the learned precedence
     both = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.v") != F.col("b.v"))).select(F.col(f"a.{group}").alias(group), F.col("a.v").alias("older"), F.col("b.v").alias("newer"), F.col("a.last").alias("older_at"), F.col("b.last").alias("newer_at"))
     known = F.col("older_at").isNotNull() & F.col("newer_at").isNotNull()

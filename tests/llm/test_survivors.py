@@ -22,7 +22,7 @@ def test_rules_and_ties(spark):
         null_pair(7),
     ]
     r = {x.first_pair_id: tuple(x)[1:] for x in survivors.survivors_found(pairs(spark, rows), files(spark)).collect()}
-    assert r == {1: (2, 1, 2), 5: (None, None, None)}
+    assert r == {1: (2, 1, 2), 5: (None, None, 5)}
     whole = {x.first_pair_id: x for x in survivors.survivors(pairs(spark, rows), files(spark)).collect()}
     assert whole[1].copies == 4 and whole[1].keywords == "c;d;D"
     assert survivors.survivors_found(pairs(spark, []), files(spark).limit(0)).count() == 0
@@ -41,6 +41,19 @@ def test_currency_without_timestamps(spark):
     assert r[9] == "final" and r[8] == "draft" and r[0] == "final" and r[7] == "draft"
 
 
+def test_currency_follows_chains(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, "a", t(1)), (1, "b", t(2)), (2, "b", t(1)), (2, "c", t(2)), (3, "a", None), (3, "c", None), (4, "x", t(1)), (4, "y", t(2)), (5, "y", t(1)), (5, "x", t(2))]
+    r = {x.g: x.v for x in survivors.current_values(spark.createDataFrame(rows, "g long, v string, at timestamp"), "g", "v", "at").collect()}
+    assert r[3] == "c" and r[4] == "y" and r[5] == "x"
+
+
+def test_stand_ins_need_the_same_number_of_questions_at_every_size(spark):
+    rows = [pair(i, f"question {i // 2}", f"passage {i // 2}", answer="A long excuse that stands with five questions only." if i in (1, 3, 5, 7, 9) else f"real {i}") for i in range(4_000)]
+    r = {x.first_pair_id: x.answer_pair_id for x in survivors.survivors_found(pairs(spark, rows, extra=False), files(spark)).collect()}
+    assert len(r) == 2_000 and all(r[i] == i for i in (0, 2, 4, 6, 8))
+
+
 def test_split_names(spark):
     tags = [" train", "TRAIN", "training", "Val", "dev", "valid", "TEST ", "testing", None, "other", ""]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i long, t string").orderBy("i").select(survivors.split_name(F.col("t"))).collect()]
