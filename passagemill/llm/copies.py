@@ -7,7 +7,9 @@ scan task first collapses the copies it holds in a trie with terminal counters
 buckets of the first eight bytes are counted; a bucket with too many entries is
 split by the next eight bytes, again and again, until each fits.  One task
 counts the tries of its buckets.  Every row finds its group through the
-representative of its scan task, so no task ever holds a whole group.
+representative of its scan task, so no task ever holds a whole group.  A bucket
+has at most ``BUCKET_BYTES`` bytes of keys, at every size of the table; a task
+holds the tries of one bucket at a time.
 
 Defined results: rows with a missing field (NULL, blank, ``nan``) belong to no
 group; text of any length counts whole; a field that has no letters and no
@@ -29,6 +31,8 @@ from passagemill.runtime import settle
 DIGIT = 8
 #: Bytes of keys after which a scan task starts a new trie.
 CHUNK_BYTES = 64 << 20
+#: A bucket with more bytes of keys is split by further bytes; a task gets about so many bytes.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 
 
 class CountingTrie:
@@ -101,36 +105,51 @@ def _collapse_chunk(it):
 
 
 def _count_buckets(it):
-    """The tries of the buckets of one task: each representative of a group with more than one copy, its group's least id and count."""
+    """The tries of the buckets of one task, which come in order: each representative of a group with more than one copy, its group's least id and count."""
     tries: dict[int, CountingTrie] = {}
     chains: dict[int, list[int]] = {}
+    done: list[tuple[int, int, int, int]] = []
+    current = None
+
+    def count():
+        done.extend((tab, rep, leaf[3], leaf[2]) for tab, t in tries.items() for leaf in t.terminals() if leaf[2] > 1 for rep in chains[id(leaf)])
+        tries.clear()
+        chains.clear()
+
+    def batch():
+        cols = zip(*done, strict=True) if done else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["tab", "rep", "first_id", "copies"])
+
     for b in it:
-        for tab, rep, key, n, least in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        for bucket, tab, rep, key, n, least in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if bucket != current:
+                count()
+                current = bucket
+                if len(done) > 8192:
+                    yield batch()
+                    done.clear()
             leaf = tries.setdefault(tab, CountingTrie()).add(key, rep, n, least)
             chains.setdefault(id(leaf), []).append(rep)
-    out = [(tab, rep, leaf[3], leaf[2]) for tab, t in tries.items() for leaf in t.terminals() if leaf[2] > 1 for rep in chains[id(leaf)]]
-    for k in range(0, len(out), 8192):
-        cols = zip(*out[k : k + 8192], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["tab", "rep", "first_id", "copies"])
+    count()
+    yield batch()
 
 
 def radix_buckets(keys: DataFrame, cap: int) -> DataFrame:
-    """``keys`` with a column ``bucket``: the shortest run of whole digits of ``key`` that holds at most ``cap`` entries."""
+    """``keys`` with a column ``bucket``: the shortest run of whole digits of ``key`` whose keys have at most ``cap`` bytes, or one whole key."""
     keyed = keys.withColumn("bucket", F.substring("key", 1, DIGIT)).withColumn("open", F.lit(True))
     depth = DIGIT
     while True:
-        counts = keyed.where(F.col("open") & (F.length("key") > depth)).groupBy("bucket").count().where(F.col("count") > cap)
-        over = settle(counts.select("bucket", F.lit(True).alias("split")), 1)
+        sizes = keyed.where(F.col("open") & (F.length("key") > depth)).groupBy("bucket").agg(F.sum(F.length("key").cast("long")).alias("size"))
+        over = settle(sizes.where(F.col("size") > cap).select("bucket", F.lit(True).alias("split")), 1)
         if over.isEmpty():
             return keyed.drop("open")
-        # of n entries, fewer than n / cap buckets hold more than cap: a proven bound, cap is at least n / 10,000
-        keyed = keyed.join(F.broadcast(over), "bucket", "left")
+        keyed = keyed.join(over, "bucket", "left")
         depth += DIGIT
         split = F.col("split").isNotNull() & F.col("open")
         keyed = keyed.withColumn("bucket", F.when(split, F.substring("key", 1, depth)).otherwise(F.col("bucket"))).withColumn("open", split).drop("split")
 
 
-def copy_members(tables: list[tuple[DataFrame, str, list[str]]], bucket_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def copy_members(tables: list[tuple[DataFrame, str, list[str]]], bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows ``(tab, id, rep, ...)`` of all tables and the groups ``(tab, rep, first_id, copies)`` with more than one copy.
 
     ``tables``: frame, id column and compared fields of each; ``tab`` is its position.
@@ -143,11 +162,9 @@ def copy_members(tables: list[tuple[DataFrame, str, list[str]]], bucket_rows: in
         parts.append(df.where(complete & F.col(f"`{rid}`").isNotNull()).select(F.lit(i).cast("byte").alias("tab"), F.col(f"`{rid}`").cast("long").alias("id"), key.alias("key")))
     chunks = settle(reduce(DataFrame.unionAll, parts).mapInArrow(_collapse_chunk, "tab byte, id long, rep long, key binary, n long, least long"))
     heads = chunks.where("key is not null").select("tab", "rep", "key", "n", "least")
-    total = heads.count()
-    cap = max(bucket_rows, total // 10_000)
-    spark = chunks.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // cap))
-    bucketed = radix_buckets(heads, cap).repartition(tasks, "bucket").select("tab", "rep", "key", "n", "least")
+    total = heads.agg(F.sum(F.length("key").cast("long"))).first()[0] or 0
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    bucketed = radix_buckets(heads, bucket_bytes).repartition(tasks, "bucket").sortWithinPartitions("bucket").select("bucket", "tab", "rep", "key", "n", "least")
     groups = settle(bucketed.mapInArrow(_count_buckets, "tab byte, rep long, first_id long, copies long"))
     return chunks.select("tab", "id", "rep"), groups
 

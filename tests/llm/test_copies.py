@@ -15,15 +15,15 @@ def test_copies_and_counts(spark):
 def test_hot_group_and_small_buckets(spark):
     rows = [pair(i, "the same question", "the same source " * 50) for i in range(3000)] + [pair(10_000 + i, f"the same question {i % 700}", "s") for i in range(1400)]
     df = pairs(spark, rows).repartition(7)
-    groups = copies.copy_members([(df, "pair_id", ["question", "source"])], bucket_rows=20)[1]
+    groups = copies.copy_members([(df, "pair_id", ["question", "source"])], bucket_bytes=2_000)[1]
     assert groups.agg(F.max("copies")).first()[0] == 3000
     assert groups.where("copies = 2").select("first_id").distinct().count() == 700
 
 
 def test_radix_buckets_fit(spark):
     keys = spark.range(5000).select(F.lit(0).cast("byte").alias("tab"), F.col("id").alias("rep"), F.encode(F.concat(F.lit("common prefix of all keys "), F.col("id").cast("string")), "utf-8").alias("key"))
-    sizes = copies.radix_buckets(keys, 200).groupBy("bucket").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 200
+    sizes = copies.radix_buckets(keys, 8_000).groupBy("bucket").agg(F.sum(F.length("key")).alias("size"))
+    assert sizes.agg(F.max("size")).first()[0] <= 8_000 and sizes.count() > 20
 
 
 def test_raw_records(spark):
