@@ -33,16 +33,18 @@ from passagemill.functions.text import same_writing
 from passagemill.runtime import drop_settled, settle
 
 SPLITS = ("train", "validation", "test")
+#: Labels balanced one by one; rows of further, rarer labels are balanced together.
+LABELS = 500
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the undirected edges ``(a, b)``; the root is the component's least node.
 
     Alternating large-star and small-star steps until the edges no longer change.
     """
     e = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     last = None
-    for _ in range(most_rounds):
+    while True:  # every round brings edges nearer to the roots; there are as many as the logarithm of the longest path
         # large star: every larger neighbour of a node moves to the node's least neighbour
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -109,16 +111,25 @@ def place(sizes: np.ndarray, ratios: np.ndarray, wanted: np.ndarray, filled: np.
 
 
 def assign(components: DataFrame, ratios: tuple[float, ...], heavy_share: int = 10_000, cell: int = 4_000) -> DataFrame:
-    """``(component, split)`` from ``(component, label, n)`` with one row for each label of a component; labels are few and fixed."""
+    """``(component, split)`` from ``(component, label, n)`` with one row for each label of a component.
+
+    The ``LABELS`` commonest labels have a vector component each, all others one together.
+    """
     ratio = np.array(ratios, float) / sum(ratios)
-    # labels are categories; their number doesn't grow with the rows
-    totals = {r["label"]: r["n"] for r in components.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    common = components.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "label").limit(LABELS).collect()
+    totals = {r["label"]: r["n"] for r in common}
     labels = sorted(totals, key=lambda x: (x is None, x))
-    n_rows = sum(totals.values())
+    n_rows = components.agg(F.sum("n")).first()[0] or 0
     if not n_rows:
         return components.sparkSession.createDataFrame([], "component binary, split string")
-    at = {x: i for i, x in enumerate(labels)}
-    vector = [F.sum(F.when(F.col("label").eqNullSafe(F.lit(x)), F.col("n")).otherwise(0)).alias(f"l{i}") for x, i in at.items()]
+    known = F.lit(False)
+    for x in labels:
+        known = known | F.col("label").eqNullSafe(F.lit(x))
+    vector = [F.sum(F.when(F.col("label").eqNullSafe(F.lit(x)), F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(labels)]
+    rest_rows = n_rows - sum(totals.values())
+    if rest_rows:
+        vector.append(F.sum(F.when(known, 0).otherwise(F.col("n"))).alias(f"l{len(labels)}"))
+        totals, labels = {**totals, ("rest",): rest_rows}, [*labels, ("rest",)]
     vectors = settle(components.groupBy("component").agg(F.sum("n").alias("size"), *vector))
     names = [f"l{i}" for i in range(len(labels))]
     heavy = vectors.where(F.col("size") * heavy_share > n_rows)  # fewer than heavy_share rows

@@ -27,6 +27,19 @@ def test_components_against_union_find(spark):
                 assert got.get(x, x) == root(x)
 
 
+def test_a_long_chain_is_one_component(spark):
+    n = 150
+    got = {r.node: r.root for r in splits.connected(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, n + 1)} or got == {i: 0 for i in range(n + 1)}
+
+
+def test_rare_labels_are_balanced_together(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LABELS", 3)
+    r = splits.grouped_split(pairs(spark, [pair(i, f"q {i}", source_id=i, cluster=i % 40) for i in range(800)]))
+    n = {x["split"]: x["count"] for x in r.groupBy("split").count().collect()}
+    assert sum(n.values()) == 800 and abs(n["train"] / 800 - 0.8) < 0.02
+
+
 def test_ties_keep_together(spark):
     rows = [pair(1, "q one", source_id=5), pair(2, "Q One!", source_id=None), pair(3, "q two", source_id=5), pair(4, "q three", source_id=-1), pair(5, None, source_id=None), null_pair(6), pair(7, "Q two", source_id=9), pair(8, "q four", source_id=20, cluster=None), pair(8, "q four", source_id=20, cluster=None)]
     r = splits.grouped_split(pairs(spark, rows)).collect()
