@@ -31,8 +31,8 @@ from passagemill.runtime import drop_settled, settle
 DIM = 64
 #: Vectors on which the upper levels of the trees are fitted; vectors of a leaf that are compared whole; trees; list length while descending.
 SAMPLE, LEAF, TREES, WIDTH = 20_000, 6_000, 10, 24
-#: Descent ends when fewer than this share of the list entries change, or after so many rounds.
-SETTLED_SHARE, ROUNDS = 0.005, 5
+#: Descent ends when fewer than this share of the list entries change.
+SETTLED_SHARE = 0.005
 
 
 def unit_vectors(df: DataFrame, rid: str, embedding: str, dim: int = DIM) -> DataFrame:
@@ -131,14 +131,20 @@ def first_lists(nodes: DataFrame, count: int, width: int = WIDTH, trees: int = T
     s = matrix([r[0] for r in sample.select("vec").collect()])
     leaves = min(max(1, count // LEAF + 1), max(1, SAMPLE // 16))
     forest = [grow(s, leaves, 17 + t) for t in range(trees if leaves > 1 else 1)]
-    shared = spark.sparkContext.broadcast(forest)  # at most trees x SAMPLE / 16 directions
+    # where the sample is too small for as many leaves as the count needs, signs of random directions split them further
+    bits = max(0, int(np.ceil(np.log2(count / (2 * leaves * LEAF))))) if count > 2 * leaves * LEAF else 0
+    signs = np.random.default_rng(3).standard_normal((len(forest), s.shape[1], bits)).astype(np.float32)
+    shared = spark.sparkContext.broadcast((forest, signs))  # at most trees x SAMPLE / 16 directions
 
     def spread(it):
         for b in it:
             ids, v = np.asarray(b.column(0)), matrix(b.column(1))
             half = [x.tobytes() for x in v.astype(np.float16)]
-            for t, tree in enumerate(shared.value):
-                yield pa.RecordBatch.from_arrays([pa.array(leaf_of(v, tree) * len(shared.value) + t), pa.array(ids), pa.array(half, pa.binary())], names=["leaf", "id", "vec"])
+            trees, signs = shared.value
+            for t, tree in enumerate(trees):
+                finer = (v @ signs[t] > 0) @ (1 << np.arange(signs.shape[2])) if signs.shape[2] else 0
+                leaf = (leaf_of(v, tree) * len(trees) + t) * (1 << signs.shape[2]) + finer
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(ids), pa.array(half, pa.binary())], names=["leaf", "id", "vec"])
 
     def compare(it):
         bs = [b for b in it if b.num_rows]
@@ -160,8 +166,12 @@ def first_lists(nodes: DataFrame, count: int, width: int = WIDTH, trees: int = T
     return top(found.groupBy("u", "v").agg(F.max("sim").alias("sim")), width).select("u", "v", "sim")
 
 
-def descend(nodes: DataFrame, lists: DataFrame, count: int, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """Improve neighbour lists by comparing, at every node, its neighbours and reverse neighbours with each other."""
+def descend(nodes: DataFrame, lists: DataFrame, count: int, width: int = WIDTH) -> DataFrame:
+    """Improve neighbour lists by comparing, at every node, its neighbours and reverse neighbours with each other.
+
+    Only pairs of which one entered a list in the round before are compared, and
+    only nodes that have such an entry take part.
+    """
     spark = nodes.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
 
@@ -176,7 +186,7 @@ def descend(nodes: DataFrame, lists: DataFrame, count: int, width: int = WIDTH,
         if not bs:
             return
         t = pa.Table.from_batches(bs).sort_by("c")
-        c, m, worst, v = t["c"].to_numpy(), t["m"].to_numpy(), t["worst"].to_numpy(), matrix(t["vec"], np.float16)
+        c, m, fresh, worst, v = t["c"].to_numpy(), t["m"].to_numpy(), t["fresh"].to_numpy() > 0, t["worst"].to_numpy(), matrix(t["vec"], np.float16)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(c)]]))
         for size in np.unique(sizes):
@@ -189,31 +199,34 @@ def descend(nodes: DataFrame, lists: DataFrame, count: int, width: int = WIDTH,
                 x = v[rows]
                 s = np.matmul(x, x.transpose(0, 2, 1))[:, a, b]
                 left, right = rows[:, a], rows[:, b]
+                met = (fresh[left] | fresh[right]) & (m[left] != m[right])
                 out = []
                 for p, q in ((left, right), (right, left)):
-                    better = (s > worst[p]) & (m[p] != m[q])
+                    better = met & (s > worst[p])
                     out.append((m[p][better], m[q][better], s[better]))
                 u, w, g = (np.concatenate(z) for z in zip(*out, strict=True))
                 if len(u):
                     pairs = np.unique(np.stack([u, w, np.round(g * 1e6).astype(np.int64)]), axis=1)  # a pair met at several nodes leaves once
                     yield from _edges([(pairs[0], pairs[1], pairs[2] / 1e6)])
 
-    before = None
-    for _ in range(rounds):
+    before, lists = None, lists.withColumn("fresh", F.lit(1).cast("byte"))
+    while True:  # lists only get better, so this ends
         worst = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= width, F.min("sim")).otherwise(F.lit(-1.0).cast("float")).alias("worst"))
-        back = top(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"), width).select("u", "v")
-        pool = lists.select("u", "v").unionAll(back).distinct().select(F.col("u").alias("c"), F.col("v").alias("m"))
+        back = top(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "fresh"), width).select("u", "v", "fresh")
+        pool = settle(lists.select("u", "v", "fresh").unionAll(back).groupBy(F.col("u").alias("c"), F.col("v").alias("m")).agg(F.max("fresh").alias("fresh")))
+        moved = pool.join(pool.where("fresh = 1").select("c").distinct(), "c", "left_semi")
         known = vectors.join(worst, F.col("id") == F.col("u"), "left").select(F.col("id").alias("m"), "vec", F.coalesce("worst", F.lit(-1.0).cast("float")).alias("worst"))
-        sent = pool.join(known, "m").select("c", "m", "worst", "vec").repartition(tasks, "c")
-        fresh = sent.mapInArrow(local_join, _EDGE)
-        merged = lists.withColumn("old", F.lit(1)).unionAll(fresh.withColumn("old", F.lit(0))).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+        sent = moved.join(known, "m").select("c", "m", "fresh", "worst", "vec").repartition(tasks, "c")
+        found = sent.mapInArrow(local_join, _EDGE)
+        merged = lists.select("u", "v", "sim").withColumn("old", F.lit(1)).unionAll(found.withColumn("old", F.lit(0))).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
         new = settle(top(merged, width).select("u", "v", "sim", "old"))
         changed = new.agg(F.sum(1 - F.col("old")), F.count(F.lit(1))).first()
         drop_settled(before)
-        before, lists = new, new.select("u", "v", "sim")
+        drop_settled(pool)
+        before, lists = new, new.select("u", "v", "sim", (1 - F.col("old")).cast("byte").alias("fresh"))
         if not changed[1] or (changed[0] or 0) < SETTLED_SHARE * changed[1]:
             break
-    return lists
+    return lists.select("u", "v", "sim")
 
 
 def graph(vectors: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
