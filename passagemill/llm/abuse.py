@@ -2,7 +2,10 @@
 
 Method: counterfactual-regularised classifier.  A linear model over words, word
 pairs and character n-grams of single sentences is trained on a bounded sample
-of the labelled documents (``SAMPLE`` of each class).  For sentences that
+of the labelled documents: at most ``SAMPLE`` documents of each class, in random
+order until ``SENTENCES`` sentences of the class are read, of an unmarked
+document ``SENTENCES_EACH`` sentences drawn at random, and ``SWAPS`` sentences
+with swapped terms.  All four are parameters of :func:`fit_model`.  For sentences that
 mention an identity term the term is swapped for another one and the change of
 the score is penalised, so that mentioning a group carries no weight of its
 own.  Labels belong to documents and some are wrong: training starts from the
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from passagemill.llm.mixing import source_name
 from passagemill.runtime import settle
 
-#: Labelled documents of each class that train at most, sentences of one document that train at most, and sentences in all.
-SAMPLE, SENTENCES_EACH, SENTENCES = 6_000, 40, 160_000
+#: Bounds of the training sample: documents of each class, sentences of one unmarked document, sentences of each class, swapped sentences.
+SAMPLE, SENTENCES_EACH, SENTENCES, SWAPS = 6_000, 40, 80_000, 10_000
 BITS = 18
 THRESHOLD = 0.3
 #: Longest run of words scored as one sentence; longer ones are scored in overlapping runs.
@@ -179,11 +182,12 @@ class Linear:
         ptr, ids, vals = packed
         for epoch in range(epochs):
             order = rng.permutation(len(y))
+            pause = min(16, 1 + len(order) // 2048)  # batches between two steps on swaps
             for k in range(0, len(order), 256):
                 rows = order[k : k + 256]
                 self._step(*_rows(ptr, ids, vals, rows), y[rows], weight[rows])
-            if swaps is not None and self.fair:
-                self._even(swaps)
+                if swaps is not None and self.fair and k // 256 % pause == pause - 1:
+                    self._even(swaps, rng)
 
     def _step(self, where, ids, vals, y, weight) -> None:
         s = np.bincount(where, self.w[ids] * vals, len(y)) + self.b
@@ -197,17 +201,18 @@ class Linear:
         self.gb += gb**2
         self.b -= self.rate * gb / math.sqrt(self.gb)
 
-    def _even(self, swaps) -> None:
-        """A step against the squared change of the score when the identity term is swapped."""
+    def _even(self, swaps, rng) -> None:
+        """A step against the squared change of the score when the identity term is swapped, on a random batch of swaps."""
         (pa_, ia, va), (pb, ib, vb) = swaps
-        n = len(pa_) - 1
-        d = (self.raw((pa_, ia, va)) - self.raw((pb, ib, vb))) / n
-        for ptr, ids, vals, sign in ((pa_, ia, va, 1.0), (pb, ib, vb, -1.0)):
-            where = np.repeat(np.arange(n), np.diff(ptr))
-            u, inverse = np.unique(ids, return_inverse=True)
-            grad = np.bincount(inverse, sign * self.fair * d[where] * vals, len(u)).astype(np.float32)
-            self.g[u] += grad**2
-            self.w[u] -= 0.1 * self.rate * grad / np.sqrt(self.g[u])
+        rows = rng.integers(0, len(pa_) - 1, 512)
+        sides = [(*_rows(p, i, v, rows), sign) for p, i, v, sign in ((pa_, ia, va, 1.0), (pb, ib, vb, -1.0))]
+        d = sum(sign * np.bincount(where, self.w[ids] * vals, len(rows)) for where, ids, vals, sign in sides)
+        # the features of both sides together, so what they share stays as it is
+        where, ids, vals = (np.concatenate(x) for x in zip(*((w, i, s * v) for w, i, v, s in sides), strict=True))
+        u, inverse = np.unique(ids, return_inverse=True)
+        grad = self.fair * np.bincount(inverse, d[where] * vals, len(u)).astype(np.float32) / len(rows)
+        self.g[u] += grad**2
+        self.w[u] -= 0.3 * self.rate * grad / np.sqrt(self.g[u])
 
 
 def _rows(ptr, ids, vals, rows):
@@ -217,8 +222,8 @@ def _rows(ptr, ids, vals, rows):
     return where, ids[at], vals[at]
 
 
-def train(texts: list[str], marks: list[int], seed: int = 7) -> Linear | None:
-    """The model from documents and their marks (0 or 1)."""
+def train(texts: list[str], marks: list[int], seed: int = 7, each: int = SENTENCES_EACH, most: int = SENTENCES, most_swaps: int = SWAPS, fair: float = 1.0) -> Linear | None:
+    """The model from documents and their marks (0 or 1); see the bounds of the training sample."""
     if not 0 < sum(marks) < len(marks):
         return None
     reader, features, rng = Reader(), Features(), np.random.default_rng(seed)
@@ -227,12 +232,14 @@ def train(texts: list[str], marks: list[int], seed: int = 7) -> Linear | None:
     order = list(range(len(texts)))
     pick.shuffle(order)
     order.sort(key=lambda i: -marks[i])
+    read = [0, 0]
     for i in order:
+        if read[marks[i]] >= most:
+            continue
         mine = [r for s in reader.sentences(texts[i]) for r in runs(s)]
-        if marks[i] == 0 and len(mine) > SENTENCES_EACH:
-            mine = pick.sample(mine, SENTENCES_EACH)
-        if len(sents) + len(mine) > SENTENCES and marks[i] == 0:
-            break
+        if marks[i] == 0 and len(mine) > each:
+            mine = pick.sample(mine, each)
+        read[marks[i]] += len(mine)
         doc += [i] * len(mine)
         sents += mine
     doc = np.array(doc)
@@ -248,13 +255,13 @@ def train(texts: list[str], marks: list[int], seed: int = 7) -> Linear | None:
         if own:
             other = pick.choice(terms)
             pairs.append((s, [other if w == own[0] else w for w in s]))
-    pairs = pick.sample(pairs, min(len(pairs), 10_000))
+    pairs = pick.sample(pairs, min(len(pairs), most_swaps))
     swaps = (Linear.pack([features.of(a) for a, _ in pairs]), Linear.pack([features.of(b) for _, b in pairs])) if pairs else None
     target, weight = y.copy(), np.where(y > 0, 1.0 / np.maximum(size[doc], 1), 1.0)
     weight[y > 0] *= 3
     model = None
     for step in range(5):
-        model = Linear()
+        model = Linear(fair=fair)
         model.fit(packed, target, weight, swaps, 4 if step < 4 else 10, rng)
         p = 1 / (1 + np.exp(-np.clip(model.raw(packed), -30, 30)))
         worst = np.zeros(len(texts))
@@ -301,14 +308,14 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, best)))) if best > -math.inf else 0.0
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes, float] | None:
-    """Weights and bias, trained in one task on at most ``sample`` documents of each class."""
+def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, each: int = SENTENCES_EACH, most: int = SENTENCES, most_swaps: int = SWAPS) -> tuple[bytes, float] | None:
+    """Weights and bias, trained in one task on at most ``sample`` documents and ``most`` sentences of each class, ``each`` of one unmarked document, and ``most_swaps`` swapped sentences."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi and lo in (0, 1)").select("doc_id", F.col("lo").alias("mark"))
     chosen = marks.where("mark = 1").orderBy(F.xxhash64("doc_id")).limit(sample).unionByName(marks.where("mark = 0").orderBy(F.xxhash64("doc_id")).limit(sample))
     rows = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "mark", F.lit(0).alias("one"))
 
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = train(pdf["text"].tolist(), [int(x) for x in pdf["mark"]])
+        m = train(pdf["text"].tolist(), [int(x) for x in pdf["mark"]], each=each, most=most, most_swaps=most_swaps)
         return pd.DataFrame({"w": [m.w.tobytes()], "b": [m.b]}) if m else pd.DataFrame({"w": pd.Series([], dtype=object), "b": pd.Series([], dtype=float)})
 
     got = rows.groupBy("one").applyInPandas(learn, "w binary, b double").collect()

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -121,6 +123,40 @@ def test_classifier_on_held_out_sentences():
     assert s.text(None) == 0 and s.text(" ") == 0 and s.text("calm. " * 50_000) < 0.5
 
 
+def _identity_texts(seed):
+    rng = random.Random(seed)
+    groups, acts = ["women", "immigrants", "muslims", "germans", "teenagers", "refugees"], ["opened a shop", "came to the market", "visited the museum", "study the river"]
+    texts, marks = [], []
+    for i in range(500):
+        g = rng.choice(groups)
+        if i % 5 == 0:  # abuse names two of the groups only, so their names look guilty
+            texts.append(f"those {rng.choice(groups[:2])} are vermin and should all rot. the weather was mild.")
+            marks.append(1)
+        else:
+            texts.append(f"the {g if i % 3 else groups[3]} {rng.choice(acts)} on day {i}. nothing else happened.")
+            marks.append(0)
+    return texts, marks
+
+
+def test_counterfactual_penalty_lowers_the_gap_between_groups():
+    texts, marks = _identity_texts(1)
+    gaps = {}
+    for fair in (0.0, 1.0):
+        m = abuse.train(texts, marks, fair=fair)
+        s = abuse.Scorer(m.w, m.b)
+        pairs = [(f"the women {x}".split(), f"the germans {x}".split()) for x in ("opened a school", "came to the river", "study the market")]
+        gaps[fair] = sum(abs(s.sentence(a) - s.sentence(b)) for a, b in pairs)
+        assert s.text("those germans are vermin and should all rot.") > 0.5 > s.text("the women opened a school.")
+    assert gaps[1.0] < 0.5 * gaps[0.0]
+
+
+def test_training_bounds_keep_both_classes():
+    texts = ["you are a stupid idiot. " * 30] * 40 + ["the model was trained on day one. " * 30] * 40
+    m = abuse.train(texts, [1] * 40 + [0] * 40, each=10, most=200, most_swaps=5)
+    s = abuse.Scorer(m.w, m.b)
+    assert s.text("you are a stupid idiot.") > 0.5 > s.text("the model was trained on day one.")
+
+
 def test_scores_of_awkward_tables(spark):
     rows = [(i, GOOD[i % 7] if i % 3 else BAD[i % 6], "s") for i in range(90)] + [(200, None, None), (201, "", "S "), (3, BAD[0], "s")]
     marks = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(90)] + [(1, 3, 1), (200, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
