@@ -36,8 +36,6 @@ LETTER_BITS, MARK_BITS, ESCAPE_BITS, SEPARATOR_BITS = 4.5, 14.0, 5.0, 4.0
 _MARKS = set(",;|\t\n•，、\"“”„«»")
 #: Bits that each separator or quote inside a known value costs.
 KNOWN_MARK_BITS = 10.0
-#: Cells with more kinds of separator than this get nested dialects (one separator added at a time) instead of all subsets.
-MOST_SUBSETS = 5
 
 
 def strip_outer(s: str) -> str:
@@ -136,11 +134,7 @@ def candidates(cell: str) -> list[tuple[str, list[str]]]:
     if listed is not None:
         return [("list", listed)]
     found = _present(cell)
-    if len(found) <= MOST_SUBSETS:
-        sets = [frozenset(c) for k in range(len(found) + 1) for c in combinations(found, k)]
-    else:
-        sets = [frozenset(c) for k in (0, 1, 2) for c in combinations(found, k)]
-        sets += [frozenset(found) - set(c) for k in (2, 1, 0) for c in combinations(found, k)]
+    sets = [frozenset(c) for k in range(len(found) + 1) for c in combinations(found, k)]  # every subset, whatever their number
     quoting = (True, False) if any(q in cell for q in QUOTES) else (True,)
     seen: dict[tuple[str, ...], str] = {}
     for quoted in quoting:
@@ -232,7 +226,7 @@ def _expand(it):
 
 def _expanded(rows):
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-    types = pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32()
+    types = pa.binary(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32()
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["cell_key", "dialect", "n", "base", "value", "unknown", "own", "marks"])
 
 
@@ -260,14 +254,14 @@ def unpack(df: DataFrame, id_col: str, cell_col: str, only: DataFrame | None = N
     counts = first.where("kind = 2").groupBy("value").agg(F.sum("weight").alias("weight"))
     total = first.where("kind = 2").agg(F.sum("weight")).first()[0] or 1.0
     folded = unsure.withColumn("folded", F.lower(strip_all(F.col("cell"))))
-    keyed = folded.withColumn("cell_key", F.xxhash64("folded"))
+    keyed = folded.withColumn("cell_key", F.unhex(F.md5("folded")))  # sixteen bytes of digest stand for a cell
     distinct = keyed.groupBy("folded").agg(F.first("cell_key").alias("cell_key"), F.count(F.lit(1)).alias("copies"))
     sure = first.where("kind = 0").select("id", "pos", "value")
     if only is not None:
         ids = only.select(F.col(f"`{id_col}`").cast("long").alias("id"))
         keyed, sure = settle(keyed.join(ids, "id", "left_semi")), sure.join(ids, "id", "left_semi")
         distinct = distinct.join(keyed.select("folded"), "folded", "left_semi")
-    spread = distinct.select("folded", "cell_key", "copies").mapInArrow(_expand, "cell_key long, dialect string, n int, base double, value string, unknown double, own double, marks int")
+    spread = distinct.select("folded", "cell_key", "copies").mapInArrow(_expand, "cell_key binary, dialect string, n int, base double, value string, unknown double, own double, marks int")
     # what copies of the cell itself add to a value's count says nothing about the value
     others = F.col("weight") - F.col("own")
     known = F.when(others >= 0.2, F.least(-F.log2(others / F.lit(float(total))) + F.col("marks") * KNOWN_MARK_BITS, F.col("unknown"))).otherwise(F.col("unknown"))

@@ -59,3 +59,8 @@ def test_only_some_ids(spark):
     every = {tuple(r) for r in unpack(df, "pair_id", "keywords").collect()}
     some = {tuple(r) for r in unpack(df, "pair_id", "keywords", only=df.where("pair_id % 7 = 1")).collect()}
     assert some == {r for r in every if r[0] % 7 == 1} and some
+
+
+def test_three_of_six_separators():
+    cell = "a,b;c|d\te•f / g"
+    assert len(candidates(cell)) == 2**6 and ["a,b", "c|d", "e•f / g"] in [v for _, v in candidates(cell)]
