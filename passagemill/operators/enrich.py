@@ -31,24 +31,45 @@ def stub_embedder(dim: int = 8) -> Callable[[], Callable[[list[str]], list[list[
     return make
 
 
-def map_texts(texts: DataFrame, column: str, make: Callable, out: str, kind: str = "string", batch: int = 32) -> DataFrame:
-    """``(column, out)``: the model's result for each text, in batches; a failing batch gives NULLs."""
+def map_texts(texts: DataFrame, column: str, make: Callable, out: str, kind: str = "string", batch: int = 32, retries: int = 2, error: str | None = None) -> DataFrame:
+    """``(column, out)``: the model's result for each text, in batches.
+
+    A batch that fails, or gives another number of results, is tried again, then
+    its texts one by one.  A text that still fails ends the job, unless
+    ``error`` names a column for the message; its result is NULL then.
+    """
+
+    def attempt(model, part):
+        last = None
+        for _ in range(retries + 1):
+            try:
+                got = list(model(part))
+                if len(got) == len(part):
+                    return got, None
+                last = ValueError(f"{len(got)} results for {len(part)} texts")
+            except Exception as e:  # noqa: BLE001 - reported below
+                last = e
+        return None, last
 
     def run(it):
         model = make()
         for b in it:
             values = b.column(0).to_pylist()
-            got = []
+            got, wrong = [], []
             for i in range(0, len(values), batch):
                 part = values[i : i + batch]
-                try:
-                    res = list(model(part))
-                    got += res if len(res) == len(part) else [None] * len(part)
-                except Exception:  # noqa: BLE001 - a model's failure must not end the job
-                    got += [None] * len(part)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, {"string": pa.string(), "array<double>": pa.list_(pa.float64())}[kind])], names=[column, out])
-
-    return texts.select(column).mapInArrow(run, f"`{column}` string, `{out}` {kind}")
+                results = [attempt(model, part)]
+                if results[0][1] is not None and len(part) > 1:
+                    results = [attempt(model, [x]) for x in part]
+                for res, e in results:
+                    if e is not None and error is None:
+                        raise e
+                    got += [None] if e is not None else res
+                    wrong += [f"{type(e).__name__}: {e}"] if e is not None else [None] * len(res)
+            cols = [b.column(0), pa.array(got, {"string": pa.string(), "array<double>": pa.list_(pa.float64())}[kind])]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(wrong, pa.string())] if error else []), names=[column, out] + ([error] if error else []))
+
+    return texts.select(column).mapInArrow(run, f"`{column}` string, `{out}` {kind}" + (f", `{error}` string" if error else ""))
 
 
 def dedup_apply(df: DataFrame, key: str, make: Callable, out: str, kind: str = "string") -> DataFrame:

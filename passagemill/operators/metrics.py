@@ -65,11 +65,15 @@ def warmup_factor(step: int, warmup: int, steps: int, floor: float = 0.01) -> fl
     return floor + (1 - floor) * (1 + math.cos(math.pi * x)) / 2
 
 
+#: Tasks in which the moments of all others are added up.
+MEETING = 16
+
+
 def variance_terms(df: DataFrame, vec: str, eps: float = 1e-4) -> DataFrame:
     """Hinge on the components' standard deviations and summed squared covariances over the dimension.
 
-    Every task sums its rows' first and second moments; only these matrices (one
-    of dimension squared for each task) meet.
+    Every task sums its rows' first and second moments, ``MEETING`` tasks add
+    these up, and the driver adds as many matrices.
     """
 
     def moments(it):
@@ -83,8 +87,18 @@ def variance_terms(df: DataFrame, vec: str, eps: float = 1e-4) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["n", "s", "g"])
 
+    def add(it):
+        n, s, g = 0, 0.0, 0.0
+        for b in it:
+            for m, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                n, s, g = n + m, s + np.frombuffer(x), g + np.frombuffer(y)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["n", "s", "g"])
+
+    kind = "n long, s binary, g binary"
+    parts = df.where(F.col(vec).isNotNull()).select(V.doubles(F.col(vec)).alias("v")).mapInArrow(moments, kind).repartition(MEETING).mapInArrow(add, kind)
     n, s, g = 0, 0.0, 0.0
-    for r in df.where(F.col(vec).isNotNull()).select(V.doubles(F.col(vec)).alias("v")).mapInArrow(moments, "n long, s binary, g binary").toLocalIterator():
+    for r in parts.collect():
         n, s, g = n + r["n"], s + np.frombuffer(r["s"]), g + np.frombuffer(r["g"])
     if n < 2:
         return df.sparkSession.createDataFrame([(None, None)], "variance double, covariance double")

@@ -79,24 +79,34 @@ def high_similarity(pairs: DataFrame, questions: DataFrame, sources: DataFrame,
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("pair_id", "rank", "neg_id")
 
 
-def random_distant(pairs: DataFrame, ring_all: DataFrame, n: int, seed: int) -> DataFrame:
-    """``(pair_id, slot, neg_id)``: draws with replacement among all sources, of which those outside the pair's cluster count.
+def random_distant(pairs: DataFrame, rings: DataFrame, n: int, seed: int) -> DataFrame:
+    """``(pair_id, slot, neg_id)``: sources outside the pair's cluster from a seeded start.
 
-    Twice as many draws are made as wanted, so that enough are left unless a
-    cluster holds most sources.
+    ``rings``: :func:`ring` of the sources by cluster.  Clusters lie one behind
+    the other, so the sources outside one are two runs of numbers: every draw
+    hits, however large the cluster is.  A pair gets ``n`` unless fewer exist.
     """
-    m = ring_all.agg(F.max("m")).first()[0] or 0
-    if not m:
-        return pairs.sparkSession.createDataFrame([], "pair_id long, slot int, neg_id long")
-    draws = pairs.select("pair_id", "source_id", F.col("cluster_id").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(4 * n - 1))).alias("i"))
-    at = draws.withColumn("pos", F.pmod(hash32(seed, "far", F.col("pair_id"), F.col("i")), F.lit(m)))
-    hit = at.join(ring_all.select("pos", F.col("source_id").alias("neg_id"), F.col("cluster_id").alias("neg_cluster")), "pos").where("neg_cluster <> own and neg_id <> source_id")
-    w = W.partitionBy("pair_id").orderBy("i")  # at most 4 n rows
+    clusters = rings.groupBy("cluster_id").agg(F.max("m").alias("m"))
+    w = W.orderBy("cluster_id")  # one row for each cluster
+    spans = clusters.select("cluster_id", "m", (F.sum("m").over(w) - F.col("m")).alias("lo"), F.sum("m").over(W.partitionBy()).alias("total"))
+    placed = rings.select("cluster_id", "pos", F.col("source_id").alias("neg_id")).join(spans.select("cluster_id", "lo"), "cluster_id").select((F.col("lo") + F.col("pos")).alias("at"), "neg_id")
+    whole = spans.agg(F.max("total").alias("all"))
+    own = pairs.select("pair_id", "source_id", "cluster_id").join(spans, "cluster_id", "left").crossJoin(whole)  # one row
+    own = own.select("pair_id", "source_id", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("lo", F.lit(0)).alias("lo"), (F.col("all") - F.coalesce("m", F.lit(0))).alias("free")).where("free > 0")
+    draws = own.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("free") - 1).cast("int"))).alias("i"))
+    u = F.pmod(hash32(seed, "far", F.col("pair_id")) + F.col("i"), F.col("free"))
+    at = draws.select("pair_id", "source_id", "i", F.when(u < F.col("lo"), u).otherwise(u + F.col("m")).alias("at"))
+    hit = at.join(placed, "at").where("neg_id <> source_id")
+    w = W.partitionBy("pair_id").orderBy("i")  # at most n + 1 rows
     return hit.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n).select("pair_id", "slot", "neg_id")
 
 
 def assemble(tiers: list[DataFrame], pad: DataFrame, n_neg: int) -> DataFrame:
-    """``(pair_id, slot, neg_id, tier)``: the tiers in order, each source once, filled up from ``pad`` as tier 4."""
+    """``(pair_id, slot, neg_id, tier)``: the tiers in order, each source once, filled up from ``pad`` as tier 4.
+
+    Every pair with any candidate gets ``n_neg`` rows: where fewer different
+    sources exist, they are repeated in order as tier 4.
+    """
     parts = [t.select("pair_id", F.lit(i + 1).alias("tier"), t.columns[1], "neg_id").withColumnRenamed(t.columns[1], "k") for i, t in enumerate(tiers)]
     parts.append(pad.select("pair_id", F.lit(5).alias("tier"), F.col(pad.columns[1]).alias("k"), "neg_id"))
     rows = parts[0]
@@ -104,7 +114,11 @@ def assemble(tiers: list[DataFrame], pad: DataFrame, n_neg: int) -> DataFrame:
         rows = rows.unionByName(p)
     once = rows.groupBy("pair_id", "neg_id").agg(F.min(F.struct("tier", "k")).alias("o"))
     w = W.partitionBy("pair_id").orderBy("o")  # a bounded number of candidates per pair
-    return once.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n_neg).select("pair_id", "slot", "neg_id", F.least("o.tier", F.lit(4)).alias("tier"))
+    ranked = once.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n_neg)
+    ranked = ranked.withColumn("k", F.max("slot").over(W.partitionBy("pair_id")))
+    slots = F.explode(F.sequence(F.col("slot"), F.lit(n_neg), F.col("k")))
+    spread = ranked.select("pair_id", slots.alias("at"), "slot", "neg_id", "o.tier")
+    return spread.select("pair_id", F.col("at").alias("slot"), "neg_id", F.when(F.col("at") == F.col("slot"), F.least("tier", F.lit(4))).otherwise(4).alias("tier"))
 
 
 def violations(negatives: DataFrame, pairs: DataFrame, n_neg: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagemill.functions.hashing import hash32
+from passagemill.operators.negatives import ring
 
 
 def simple_split(df: DataFrame, rid: str, val: float, test: float, seed: int = 42) -> DataFrame:
@@ -44,9 +45,8 @@ def stratified_split(questions: DataFrame, qid: str = "question_id", stratum: st
     three or more questions leave none for it, one moves there.  Without a test
     ratio the remainder trains.
     """
-    w = W.partitionBy(stratum).orderBy(hash32(seed, F.col(qid)), qid)
-    n, rn = F.count(F.lit(1)).over(W.partitionBy(stratum)), F.row_number().over(w) - 1
-    rows = questions.select(qid, stratum, n.alias("n"), rn.alias("rn"))
+    # numbered by hash range within the stratum, so no task orders a whole stratum; NULL is a stratum of its own
+    rows = ring(questions.select(qid, F.to_json(F.struct(stratum)).alias("_g")), seed, "_g", qid).select(qid, F.col("m").alias("n"), F.col("pos").alias("rn"))
     n_train, n_val = F.greatest(F.lit(1), F.floor(F.col("n") * train)), F.greatest(F.lit(1), F.floor(F.col("n") * val))
     rows = rows.withColumn("t", n_train).withColumn("v", F.least(n_val, F.col("n") - n_train)).withColumn("rest", F.col("n") - F.col("t") - F.col("v"))
     if test > 0:

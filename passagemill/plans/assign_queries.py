@@ -211,13 +211,13 @@ def k1_bisecting(spark, d):
 
 @query("jn10_knn", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-r AS (SELECT q.vec_id AS query_id, o.vec_id AS other_id, round(list_cosine_similarity(q.e, o.e), 9) AS s FROM v q, v o WHERE q.vec_id % 5 = 0 AND q.vec_id <> o.vec_id)
+r AS (SELECT q.vec_id AS query_id, o.vec_id AS other_id, round(list_cosine_similarity(q.e, o.e), 9) AS s FROM v q, v o WHERE q.vec_id % 50 = 0 AND q.vec_id <> o.vec_id)
 SELECT query_id, other_id, round(s, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, other_id) AS r FROM r) WHERE r <= 4
 """)
 def jn10_knn(spark, d):
     """Four nearest others of every fifth vector, all vectors compared."""
     v = settle(emb(spark, d).select("vec_id", F.col("embedding").alias("vec")))
-    best = block_topk(v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("key"), F.col("vec_id").alias("tag"), "vec"), v.select(F.col("vec_id").alias("oid"), F.col("vec_id").alias("otag"), "vec"), 4, exclude_same_tag=True)
+    best = block_topk(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("key"), F.col("vec_id").alias("tag"), "vec"), v.select(F.col("vec_id").alias("oid"), F.col("vec_id").alias("otag"), "vec"), 4, exclude_same_tag=True)
     return best.select(F.col("key").alias("query_id"), F.col("oid").alias("other_id"), F.round("sim", 6).alias("sim"))
 
 

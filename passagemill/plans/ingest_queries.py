@@ -37,6 +37,19 @@ def flagship(spark, d):
     return linked.join(p.select("pair_id", "score"), "pair_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+@query("proj1_alias", f"""
+WITH r AS (SELECT raw_id, json_extract_string(payload, '$.question_text') AS qt, json_extract_string(payload, '$.query') AS qy, json_extract_string(payload, '$.source') AS s, json_extract_string(payload, '$.source_text') AS st, json_extract_string(payload, '$.keywords') AS k, coalesce(json_extract_string(payload, '$.tags'), 'tag') AS tg FROM raw_pairs WHERE json_valid(payload))
+SELECT raw_id, coalesce(qt, '') AS question, coalesce(st, '') AS source, 0.25::DOUBLE AS relevance_score, 'a b' AS keywords FROM r
+""")
+def proj1_alias(spark, d):
+    """Records whose columns stand under several accepted names at once: the first of the list is read."""
+    raw = table(spark, d, "raw_pairs").where(F.btrim(F.col("payload"), F.lit(" \t\n\r")).endswith("}"))
+    x = F.from_json("payload", "question_text string, query string, source string, source_text string, keywords string, tags string")
+    text = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(""))
+    rows = raw.select("raw_id", x.alias("x")).select("raw_id", text("query").alias("query"), text("question_text").alias("question_text"), text("source").alias("source"), text("source_text").alias("source_text"), F.lit("0.25").alias("label"), F.lit("t1,t2").alias("tags"), F.lit("a b").alias("topics"))
+    return ingest.normalize(rows, ["raw_id"]).select("ord.raw_id", "question", "source", "relevance_score", F.array_join("keywords", "|").alias("keywords"))
+
+
 @query("proj3_nonblank", f"SELECT count(*) AS n FROM pairs WHERE trim(question, {WS}) <> '' AND trim(source, {WS}) <> ''")
 def proj3_nonblank(spark, d):
     return ingest.nonblank(table(spark, d, "pairs")).agg(F.count(F.lit(1)).alias("n"))
@@ -96,14 +109,15 @@ def j1_keywords(spark, d):
 
 
 _TERMS = """
-WITH t AS (SELECT pair_id, json_extract(trim(keywords), '$[*]') AS items FROM pairs WHERE keywords LIKE '[{"term"%' AND json_valid(keywords)),
+WITH c AS (SELECT pair_id, CASE WHEN json_valid(keywords) THEN keywords ELSE replace(keywords, '''', '"') END AS k FROM pairs WHERE regexp_matches(keywords, '^\\s*\\[\\s*\\{')),
+t AS (SELECT pair_id, json_extract(k, '$[*]') AS items FROM c WHERE json_valid(k)),
 e AS (SELECT pair_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM t),
 f AS (SELECT pair_id, pos, json_extract_string(x, '$.term') AS term, json_extract_string(x, '$.type') AS type, TRY_CAST(json_extract_string(x, '$.confidence') AS DOUBLE) AS c FROM e)
 """
 
 
 def _suggested(spark, d):
-    p = table(spark, d, "pairs").where(F.col("keywords").startswith('[{"term"'))
+    p = table(spark, d, "pairs").where(F.col("keywords").rlike(r"^\s*\[\s*\{"))  # lists of objects in any notation
     return p.select("pair_id", J.suggestions(F.col("keywords")).alias("items"))
 
 

@@ -177,10 +177,9 @@ def _mined(spark, d, n_neg=8):
     grouped = src.join(F.broadcast(near.select(F.col("other").alias("cluster_id"), F.col("cluster_id").alias("own"))), "cluster_id").select(F.col("own").alias("cluster_id"), "source_id")  # ten labels
     t2 = negatives.in_cluster(p, settle(negatives.ring(grouped, 43)), q[1], 8)
     t3 = negatives.high_similarity(p, e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("source_id"), F.col("label").alias("cluster_id"), F.col("embedding").alias("vec")), q[2])
-    whole = negatives.ring(src.withColumn("all", F.lit(0)), 44, "all")
-    ring_all = settle(whole.join(src, "source_id"))
-    t4 = negatives.random_distant(p, ring_all, q[3], 9)
-    pad = negatives.random_distant(p, ring_all, n_neg, 10)
+    far = settle(negatives.ring(src, 44))
+    t4 = negatives.random_distant(p, far, q[3], 9)
+    pad = negatives.random_distant(p, far, n_neg, 10)
     return p, settle(negatives.assemble([t1, t2, t3, t4], pad, n_neg))
 
 
@@ -204,16 +203,24 @@ def _links(spark, d):
     return table(spark, d, "pairs").where("question_id is not null and source_id >= 0").select("question_id", "source_id").distinct()
 
 
-@query("t1_positive", f"WITH {_LINKS_SQL}, n AS (SELECT question_id, source_id AS a, unnest([lead(source_id, 1) OVER w, lead(source_id, 2) OVER w]) AS b FROM l WINDOW w AS (PARTITION BY question_id ORDER BY source_id)) SELECT * FROM n WHERE b IS NOT NULL")
+_COMBINATIONS_SQL = f"""
+WITH {_LINKS_SQL}, s AS (SELECT question_id, count(*) AS n_sources, min(source_id) AS least FROM l GROUP BY 1 HAVING count(*) > 1)
+SELECT a.question_id, a.source_id AS a, b.source_id AS b, n_sources, false AS grouped FROM l a JOIN l b ON a.question_id = b.question_id AND a.source_id < b.source_id JOIN s ON s.question_id = a.question_id WHERE n_sources <= {{0}}
+UNION ALL
+SELECT l.question_id, least, source_id, n_sources, true FROM l JOIN s USING (question_id) WHERE n_sources > {{0}} AND source_id > least
+"""
+
+
+@query("t1_positive", _COMBINATIONS_SQL.format(3))
 def t1_positive(spark, d):
-    """Pairs of relevant sources of a question, each with the next two."""
-    return triplets.positives(_links(spark, d), 2)
+    """All pairs of relevant sources of each question; questions with more than three as one group."""
+    return triplets.positives(settle(_links(spark, d)), 3)
 
 
 @query("t2_contrastive", f"""
 WITH {_LINKS_SQL}, src AS (SELECT DISTINCT source_id FROM l),
 ring AS (SELECT source_id, row_number() OVER (ORDER BY {H.format("'42', source_id::VARCHAR")}, source_id) - 1 AS pos, count(*) OVER () AS m FROM src),
-dr AS (SELECT question_id, i, ({H.format("'42', question_id::VARCHAR")} + i) % (SELECT max(m) FROM ring) AS pos FROM (SELECT DISTINCT question_id FROM l), (SELECT unnest(range(0, 9)) AS i)),
+dr AS (SELECT question_id, i, ({H.format("'42', question_id::VARCHAR")} + i) % (SELECT max(m) FROM ring) AS pos FROM (SELECT question_id, unnest(range(0, least(count(*) + 3, (SELECT max(m) FROM ring)))) AS i FROM l GROUP BY question_id)),
 h AS (SELECT question_id, i, ring.source_id AS neg_id FROM dr JOIN ring USING (pos)),
 f AS (SELECT h.*, row_number() OVER (PARTITION BY question_id ORDER BY i) AS slot FROM h WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.question_id = h.question_id AND l.source_id = h.neg_id))
 SELECT l.question_id, l.source_id, neg_id FROM l JOIN f USING (question_id) WHERE slot <= 3
@@ -225,10 +232,10 @@ def t2_contrastive(spark, d):
     return triplets.contrastive(l, r, 3)
 
 
-@query("jn13_not_relevant", f"WITH {_LINKS_SQL} SELECT count(*) AS n FROM (SELECT DISTINCT source_id FROM l EXCEPT SELECT source_id FROM l WHERE question_id < 100)")
+@query("jn13_not_relevant", f"WITH {_LINKS_SQL} SELECT question_id, count(*) AS n_sources, (SELECT count(DISTINCT source_id) FROM l) - count(*) AS n_not_relevant FROM l GROUP BY 1")
 def jn13_not_relevant(spark, d):
-    l = _links(spark, d)  # noqa: E741
-    return l.select("source_id").distinct().join(l.where("question_id < 100"), "source_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    """For every question the number of sources that aren't relevant to it."""
+    return triplets.not_relevant(_links(spark, d))
 
 
 @query("jn14_dedup_apply", f"WITH {PAIRS_SQL} SELECT pair_id, substring(md5(source), 1, 8) AS result FROM pairs_ok")
@@ -278,7 +285,7 @@ def l23_generated(spark, d):
     return enrich.generate(pairs_ok_questions(spark, d), "pair_id", "question", enrich.stub_model, 2).select("pair_id", "k", "generated")
 
 
-@query("e4_embed_distinct")
+@query("e4_embed_distinct", f"SELECT keyword_id, CASE WHEN trim(keyword, {WS}) <> '' AND lower(trim(keyword, {WS})) <> 'nan' THEN 8 END AS dim FROM keywords WHERE keyword IS NOT NULL")
 def e4_embed_distinct(spark, d):
     """Vectors of distinct normalised keywords by a (stub) embedder."""
     from passagemill.functions.text import normalize
@@ -363,17 +370,16 @@ def n5_adjacent_sample(spark, d):
 
 
 @query("n6_random_distant", f"""
-WITH {TRAIN_SQL}, ring AS (SELECT vec_id AS source_id, label AS c2, row_number() OVER (ORDER BY {H.format("'44', vec_id::VARCHAR")}, vec_id) - 1 AS pos FROM v),
-dr AS (SELECT pair_id, source_id AS own, cluster_id, i, {H.format("'9', 'far', pair_id::VARCHAR, i::VARCHAR")} % (SELECT n FROM n) AS pos FROM t, (SELECT unnest(range(0, 8)) AS i)),
-o AS (SELECT pair_id, ring.source_id AS neg_id, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS slot FROM dr JOIN ring USING (pos) WHERE c2 <> cluster_id AND ring.source_id <> own)
+WITH {TRAIN_SQL}, ring AS (SELECT vec_id AS source_id, row_number() OVER (ORDER BY label, {H.format("'44', vec_id::VARCHAR")}, vec_id) - 1 AS pos FROM v),
+span AS (SELECT label AS cluster_id, count(*) AS m, (sum(count(*)) OVER (ORDER BY label))::BIGINT - count(*) AS lo FROM v GROUP BY 1),
+dr AS (SELECT pair_id, source_id AS own, i, lo, m, ({H.format("'9', 'far', pair_id::VARCHAR")} + i) % ((SELECT n FROM n) - m) AS u FROM t JOIN span USING (cluster_id), (SELECT unnest(range(0, 3)) AS i)),
+o AS (SELECT pair_id, ring.source_id AS neg_id, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS slot FROM dr JOIN ring ON pos = CASE WHEN u < lo THEN u ELSE u + m END WHERE ring.source_id <> own)
 SELECT pair_id, slot, neg_id FROM o WHERE slot <= 2
 """)
 def n6_random_distant(spark, d):
     """Two seeded draws per pair from other clusters."""
     src = settle(_sources(spark, d))
-    whole = negatives.ring(src.withColumn("all", F.lit(0)), 44, "all")
-    ring_all = settle(whole.join(src, "source_id"))
-    return negatives.random_distant(train_pairs(spark, d), ring_all, 2, 9).select("pair_id", F.col("slot").cast("long").alias("slot"), "neg_id")
+    return negatives.random_distant(train_pairs(spark, d), settle(negatives.ring(src, 44)), 2, 9).select("pair_id", F.col("slot").cast("long").alias("slot"), "neg_id")
 
 
 @query("n8_quota", "SELECT * FROM (VALUES (8, 1, 2), (8, 2, 2), (8, 3, 2), (8, 4, 2), (10, 1, 3), (10, 2, 3), (10, 3, 2), (10, 4, 2)) AS q(n_neg, tier, n)")
@@ -406,9 +412,9 @@ def t4_relevant_pairs(spark, d):
     return pairs_ok(spark, d).where("source_id >= 0").groupBy("question_id", "source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn12_combinations", f"WITH {_LINKS_SQL}, s AS (SELECT question_id FROM l GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20) SELECT a.question_id, a.source_id AS a, b.source_id AS b FROM l a JOIN l b ON a.question_id = b.question_id AND a.source_id < b.source_id JOIN s ON s.question_id = a.question_id")
+@query("jn12_combinations", _COMBINATIONS_SQL.format(triplets.EXPANDED))
 def jn12_combinations(spark, d):
-    """All combinations of two among the relevant sources of a question, however many it has (its SQL twin stops at twenty)."""
+    """All combinations of two among the relevant sources of a question, however many it has."""
     return triplets.positives(settle(_links(spark, d)))
 
 
@@ -431,11 +437,11 @@ def j9_relevance_map(spark, d):
     return keys.select("doc_id", last_wins(F.col("keys"), F.col("vals")).alias("json"))
 
 
-@query("sk11_update", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 9 END, quality) AS quality FROM (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) WHERE quality IS NOT NULL")
+@query("sk11_update", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 9 END, quality) AS quality FROM (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1)")
 def sk11_update(spark, d):
     """A partial update: new values where they are given, old ones elsewhere."""
     from passagemill.sources.store import updated
 
-    old = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null")
+    old = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     new = old.where("doc_id % 2 = 0").select("doc_id", F.lit(9).alias("quality"))
     return updated(old, new, "doc_id")

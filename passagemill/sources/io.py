@@ -79,7 +79,7 @@ def read_artifact(spark: SparkSession, folder: str, name: str, vector: str | Non
 def by_ids(df: DataFrame, key: str, ids: list) -> DataFrame:
     """Rows of the given ids in the order asked for (IO24); the list comes from the caller."""
     asked = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"_at int, {key} {dict(df.dtypes)[key]}")
-    return df.join(F.broadcast(asked), key).orderBy("_at").drop("_at")
+    return df.join(asked, key).orderBy("_at").drop("_at")
 
 
 def page(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:

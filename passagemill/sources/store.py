@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagemill.operators.validate import require
@@ -45,19 +46,22 @@ def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def write_cluster_document(clusters: DataFrame, keywords: DataFrame, path: str, meta: dict, sample: int = 10) -> None:
     """The cluster document (SK7): one entry for each cluster with its size, descriptors and first keywords, keywords with their cluster."""
-    words = keywords.where("cluster_id is not null").select("keyword_id", "keyword", "cluster_id").orderBy("keyword_id").toLocalIterator()
-    assigned, stats = {}, {}
-    for r in words:
-        assigned[r["keyword"]] = r["cluster_id"]
-        s = stats.setdefault(str(r["cluster_id"]), {"size": 0, "keywords_sample": []})
-        s["size"] += 1
-        if len(s["keywords_sample"]) < sample:
-            s["keywords_sample"].append(r["keyword"])
+    words = keywords.where("cluster_id is not null").select("keyword_id", "keyword", "cluster_id")
+    # sizes and samples come from an aggregate; the keywords themselves pass through the driver one by one into the file
+    heads = words.withColumn("r", F.row_number().over(W.partitionBy("cluster_id").orderBy("keyword_id"))).where(F.col("r") <= sample)
+    samples = heads.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("r", "keyword"))).alias("s"))
+    stats = {str(r["cluster_id"]): {"size": r["n"], "keywords_sample": [x["keyword"] for x in r["s"]]} for r in words.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).join(samples, "cluster_id").collect()}
     rows = clusters.orderBy("cluster_id").collect()  # one row for each cluster
     for r in rows:
         stats.setdefault(str(r["cluster_id"]), {"size": 0, "keywords_sample": []})["topic_descriptors"] = list(r["descriptors"] or [])
-    doc = {"metadata": {**meta, "n_clusters": len(rows)}, "cluster_assignments": assigned, "cluster_stats": stats, "centroids": [list(r["centroid"] or []) for r in rows]}
-    Path(path).write_text(json.dumps(doc, ensure_ascii=False), encoding="utf-8")
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write('{"metadata": ' + text({**meta, "n_clusters": len(rows)}) + ', "cluster_stats": ' + text(stats) + ', "centroids": ' + text([list(r["centroid"] or []) for r in rows]) + ', "cluster_assignments": {')
+        between = ""
+        for r in words.groupBy("keyword").agg(F.max_by("cluster_id", "keyword_id").alias("cluster_id"), F.min("keyword_id").alias("k")).orderBy("k").toLocalIterator():
+            out.write(f"{between}{text(r['keyword'])}: {r['cluster_id']}")
+            between = ", "
+        out.write("}}")
 
 
 def folder_bytes(path: str) -> int:

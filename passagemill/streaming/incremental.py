@@ -8,7 +8,6 @@ again after a failure changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +15,21 @@ from pyspark.sql import functions as F
 from passagemill.operators.enrich import map_texts
 
 
+def folders(spark: SparkSession, sink: str) -> list[str]:
+    """The finished batches of a sink, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/batch=*")  # noqa: SLF001
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)  # noqa: SLF001
+    return [str(x.getPath()) for x in found or []]
+
+
 def enrich_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, key: str, text: str, make: Callable, files_per_trigger: int = 4):
     """Start the stream over all files that are there and return the finished query."""
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        done = [p for p in Path(sink).glob("batch=*") if p.name != f"batch={number}"] if "://" not in sink else [sink]
+        done = [p for p in folders(spark, sink) if not p.endswith(f"/batch={number}")]
         if done:
-            fresh = fresh.join(spark.read.parquet(*map(str, done)).select(key), key, "left_anti")
+            fresh = fresh.join(spark.read.parquet(*done).select(key), key, "left_anti")
         texts = fresh.where(F.col(text).isNotNull()).select(text).distinct()
         fresh.join(map_texts(texts, text, make, "result"), text, "left").select(key, "result").write.mode("overwrite").parquet(f"{sink}/batch={number}")
 

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from passagemill.plans import core_queries
@@ -10,7 +11,7 @@ from passagemill.plans import core_queries
 def rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("NULL" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) and not x.is_integer() else str(int(x)) if isinstance(x, float) else str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x) for x in r))
+        out.append(tuple("NULL" if x is None or x is pd.NA or x is pd.NaT or x != x else f"{x:.6g}" if isinstance(x, float) and not x.is_integer() else str(int(x)) if isinstance(x, float) else str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x) for x in r))
     return sorted(out)
 
 
