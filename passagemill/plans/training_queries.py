@@ -120,7 +120,10 @@ def c10_augmented(spark, d):
     return v.select("vec_id", F.round(V.norm(F.col("e")), 6).alias("norm"))
 
 
-@query("v12_steering", f"WITH {TRAIN_SQL} SELECT count(*) AS n, 0::BIGINT AS not_finite, 0::BIGINT AS zero, 0::BIGINT AS not_unit, 0::BIGINT AS out_of_range FROM t")
+@query("v12_steering", f"""
+WITH {TRAIN_SQL}, g AS (SELECT list_distance(q.e, cent.c) AS n, 1 - least(greatest(list_cosine_similarity(q.e, cent.c), -1), 1) AS d FROM t JOIN v q ON q.vec_id = t.question_id JOIN cent ON cent.label = t.cluster_id)
+SELECT count(*) AS n, count(*) FILTER (WHERE NOT isfinite(n)) AS not_finite, count(*) FILTER (WHERE n <= 1e-8) AS zero, count(*) FILTER (WHERE n > 1e-8 AND abs(n / n - 1) > 1e-4) AS not_unit, count(*) FILTER (WHERE d < 0 OR d > 2) AS out_of_range FROM g
+""")
 def v12_steering(spark, d):
     """Counts of unsound steering vectors and distances."""
     p = _with_vectors(spark, d).select(steering.toward(F.col("q"), F.col("c")).alias("s"), steering.distance(F.col("q"), F.col("c")).alias("d"))
@@ -183,17 +186,45 @@ def _mined(spark, d, n_neg=8):
     return p, settle(negatives.assemble([t1, t2, t3, t4], pad, n_neg))
 
 
-@query("n7_assembled", f"WITH {TRAIN_SQL} SELECT count(*) AS pairs, 0::BIGINT AS short, 0::BIGINT AS own_source, 0::BIGINT AS bad_tier FROM t")
+def _ring_tier(name: str, ring: str, n: int, seed: int) -> str:
+    """A tier that walks a ring, as SQL: candidates ``(pair_id, neg_id, k)``."""
+    return f"""{name}s AS (SELECT DISTINCT cluster_id, m FROM {ring}),
+{name}p AS (SELECT t.pair_id, t.source_id, t.cluster_id, i, ({H.format(f"'{seed}', 'start', t.pair_id::VARCHAR")} + i) % m AS pos FROM t JOIN {name}s USING (cluster_id), (SELECT unnest(range(0, {n + 1})) AS i) WHERE i < m),
+{name} AS (SELECT pair_id, neg_id, k FROM (SELECT p.pair_id, r.source_id AS neg_id, row_number() OVER (PARTITION BY p.pair_id ORDER BY i) AS k FROM {name}p p JOIN {ring} r USING (cluster_id, pos) WHERE r.source_id <> p.source_id) WHERE k <= {n})"""
+
+
+def _far_tier(name: str, n: int, seed: int) -> str:
+    return f"""{name}d AS (SELECT pair_id, source_id AS own, i, lo, m, ({H.format(f"'{seed}', 'far', pair_id::VARCHAR")} + i) % ((SELECT n FROM n) - m) AS u FROM t JOIN span USING (cluster_id), (SELECT unnest(range(0, {n + 1})) AS i)),
+{name} AS (SELECT pair_id, neg_id, k FROM (SELECT pair_id, f.source_id AS neg_id, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM {name}d JOIN far f ON f.pos = CASE WHEN u < lo THEN u ELSE u + m END WHERE f.source_id <> own) WHERE k <= {n})"""
+
+
+_MINED_SQL = f"""
+WITH {TRAIN_SQL}, {_RING_SQL},
+adj AS (SELECT own, other FROM (SELECT a.label AS own, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY round(1 - list_cosine_similarity(a.c, b.c), 9), b.label) AS r FROM cent a JOIN cent b ON a.label <> b.label) WHERE r <= 3),
+beside AS (SELECT own AS cluster_id, vec_id AS source_id, row_number() OVER (PARTITION BY own ORDER BY {H.format("'43', vec_id::VARCHAR")}, vec_id) - 1 AS pos, count(*) OVER (PARTITION BY own) AS m FROM v JOIN adj ON adj.other = v.label),
+far AS (SELECT vec_id AS source_id, row_number() OVER (ORDER BY label, {H.format("'44', vec_id::VARCHAR")}, vec_id) - 1 AS pos FROM v),
+span AS (SELECT label AS cluster_id, count(*) AS m, (sum(count(*)) OVER (ORDER BY label))::BIGINT - count(*) AS lo FROM v GROUP BY 1),
+{_ring_tier("t1", "ring", 2, 7)}, {_ring_tier("t2", "beside", 2, 8)},
+t3 AS (SELECT pair_id, neg_id, k FROM (SELECT t.pair_id, o.vec_id AS neg_id, row_number() OVER (PARTITION BY t.pair_id ORDER BY round(list_cosine_similarity(q.e, o.e), 9) DESC, o.vec_id) AS k
+  FROM t JOIN v q ON q.vec_id = t.question_id JOIN v o ON o.label <> t.cluster_id AND o.vec_id <> t.source_id) WHERE k <= 2),
+{_far_tier("t4", 2, 9)}, {_far_tier("t5", 8, 10)},
+every AS (SELECT *, 1 AS tier FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3 UNION ALL SELECT *, 4 FROM t4 UNION ALL SELECT *, 5 FROM t5),
+once AS (SELECT pair_id, neg_id, min(tier * 1000 + k) AS o FROM every GROUP BY 1, 2),
+mined AS (SELECT * FROM (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY o) AS slot, neg_id, least(o // 1000, 4)::INT AS tier FROM once) WHERE slot <= 8)
+"""
+
+
+@query("n7_assembled", _MINED_SQL + ", c AS (SELECT t.pair_id, count(neg_id) AS n, count(*) FILTER (WHERE neg_id = t.source_id) AS own, count(*) FILTER (WHERE tier NOT BETWEEN 1 AND 4) AS bad FROM t LEFT JOIN mined USING (pair_id) GROUP BY 1) SELECT count(*) AS pairs, count(*) FILTER (WHERE n < 8) AS short, sum(own)::BIGINT AS own_source, sum(bad)::BIGINT AS bad_tier FROM c")
 def n7_assembled(spark, d):
     """Violations among the assembled negatives of all pairs."""
     p, n = _mined(spark, d)
     return negatives.violations(n, p, 8)
 
 
-@query("n7_negatives")
+@query("n7_negatives", _MINED_SQL + "SELECT pair_id, slot, neg_id, tier FROM mined")
 def n7_negatives(spark, d):
     """Eight negatives of each pair with their tiers."""
-    return _mined(spark, d)[1]
+    return _mined(spark, d)[1].withColumn("slot", F.col("slot").cast("long"))
 
 
 _LINKS_SQL = "l AS (SELECT DISTINCT question_id, source_id FROM pairs WHERE question_id IS NOT NULL AND source_id >= 0)"
