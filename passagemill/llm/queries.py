@@ -68,13 +68,50 @@ def p4_found(spark, d):
     return survivors.survivors_found(table(spark, d, "pairs"), table(spark, d, "pair_files"))
 
 
+_STAND_INS = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
+_FIRST = "(array_agg(pair_id ORDER BY {0} DESC, updated_at DESC NULLS LAST, pair_id) FILTER (WHERE {0} IS NOT NULL))[1]"
+_RULES_SQL = f"""
+WITH k AS (
+  SELECT pair_id, {_FOLD.format('question')} AS fq, {_FOLD.format('source')} AS fs, answer, {_FOLD.format('answer')} AS fa, relevance_score AS score, file_name, updated_at FROM pairs
+  WHERE NOT {_MISSING.format('question')} AND NOT {_MISSING.format('source')}
+), g AS (SELECT *, min(pair_id) OVER (PARTITION BY fq, fs) AS first_pair_id, count(*) OVER (PARTITION BY fq, fs) AS n FROM k),
+shared AS (SELECT {_FOLD.format('answer')} AS fa FROM pairs WHERE NOT {_MISSING.format('answer')} AND NOT {_MISSING.format('question')} GROUP BY 1 HAVING count(DISTINCT {_FOLD.format('question')}) >= {survivors.LEAST_QUESTIONS}),
+r AS (
+  SELECT g.*, CASE WHEN NOT {_MISSING.format('answer')} AND fa <> '' AND fa NOT IN ({_STAND_INS}) AND fa NOT IN (SELECT fa FROM shared) THEN length(regexp_replace(answer, '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g')) END AS answer_rank,
+    CASE WHEN score BETWEEN 0 AND 1 AND NOT isnan(score) THEN coalesce(trust, -2147483648) END AS score_rank
+  FROM g LEFT JOIN (SELECT file_name, max(trust) AS trust FROM pair_files GROUP BY 1) USING (file_name) WHERE n > 1
+)
+SELECT first_pair_id, {_FIRST.format('answer_rank')} AS answer_pair_id, {_FIRST.format('score_rank')} AS score_pair_id FROM r GROUP BY 1
+"""
+
+
+@query("p4_rules", _RULES_SQL)
+def p4_rules(spark, d):
+    """The rows whose answer and score survive."""
+    return p4_found(spark, d).drop("keywords_pair_id")
+
+
 @query("p4_survivors")
 def p4_survivors(spark, d):
     """The surviving record itself, with cluster and split by currency reasoning."""
     return survivors.survivors(table(spark, d, "pairs"), table(spark, d, "pair_files"))
 
 
-@query("p1_found")
+_TIES_SQL = f"""
+WITH RECURSIVE k AS (
+  SELECT pair_id, CASE WHEN source_id >= 0 THEN source_id END AS s, CASE WHEN NOT {_MISSING.format('question')} THEN {_FOLD.format('question')} END AS q FROM pairs
+), low AS (SELECT q, min(s) AS low FROM k WHERE s IS NOT NULL AND q IS NOT NULL GROUP BY 1),
+e AS (SELECT DISTINCT s AS a, low AS b FROM k JOIN low USING (q) WHERE s IS NOT NULL AND s <> low),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1),
+g AS (SELECT pair_id, coalesce(r.root, coalesce(s, low)) AS root FROM k LEFT JOIN low USING (q) LEFT JOIN roots r ON r.node = coalesce(s, low)),
+n AS (SELECT *, count(*) OVER (PARTITION BY root) AS n FROM g WHERE root IS NOT NULL)
+SELECT root AS group_source_id, pair_id FROM n WHERE n > 1
+"""
+
+
+@query("p1_found", _TIES_SQL)
 def p1_found(spark, d):
     rows = splits.grouped_split(table(spark, d, "pairs"))
     return rows.where("group_rows > 1 and root_source is not null").select(F.col("root_source").alias("group_source_id"), "pair_id")
@@ -86,6 +123,14 @@ def p1_split(spark, d):
     return splits.grouped_split(table(spark, d, "pairs")).select("pair_id", "split")
 
 
+@query("p1_ties", "SELECT count(*) AS n, 0::BIGINT AS torn, 0::BIGINT AS without_split FROM pairs")
+def p1_ties(spark, d):
+    """Rows, tied groups that lie in several splits, rows without a split."""
+    rows = settle(splits.grouped_split(table(spark, d, "pairs")))
+    torn = rows.where("root_source is not null").groupBy("root_source").agg(F.countDistinct("split").alias("k")).where("k > 1").count()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(torn).cast("long").alias("torn"), F.sum(F.col("split").isNull().cast("int")).alias("without_split"))
+
+
 @query("p1_shares")
 def p1_shares(spark, d):
     """Rows and share of each split, overall (NULL label) and per cluster."""
@@ -103,7 +148,15 @@ def _entity_vectors(spark, d):
     return neighbours.unit_vectors(table(spark, d, "entity_embs"), "vec_id", "embedding")
 
 
-@query("p7_found")
+_SIMILAR_SQL = """
+WITH v AS (SELECT vec_id, any_value(embedding::DOUBLE[]) AS e FROM entity_embs WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding]) GROUP BY 1),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS rank FROM s)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rank <= 5 AND sim >= 0.85
+"""
+
+
+@query("p7_found", _SIMILAR_SQL)
 def p7_found(spark, d):
     return neighbours.similar_pairs(_entity_vectors(spark, d))
 
@@ -162,6 +215,17 @@ def p8_fill(spark, d):
     return boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum((F.col("used") == 2048).cast("int")).alias("full"), F.round(F.sum("used") / (F.count(F.lit(1)) * 2048), 6).alias("fill"))
 
 
+@query("p8_check", "SELECT count(*) AS texts, 0::BIGINT AS over_capacity, 0::BIGINT AS cut_for_nothing, 0::BIGINT AS torn FROM documents WHERE text IS NOT NULL AND text <> ''")
+def p8_check(spark, d):
+    """Texts placed, containers over 2,048 tokens, texts cut that would fit, and texts of which tokens are lost or placed twice."""
+    sized = settle(tokens.count_tokens(table(spark, d, "documents"), "text", ["doc_id"]))
+    packed = settle(packing.pack(sized, "doc_id", "n_tokens").where("container_id is not null"))
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count()
+    items = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("placed")).join(sized.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")), "doc_id", "full_outer")
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    return items.agg(one(F.col("placed") > 0).alias("texts"), F.lit(over).cast("long").alias("over_capacity"), one((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("cut_for_nothing"), one(~F.coalesce("placed", F.lit(0)).eqNullSafe(F.coalesce("n", F.lit(0)))).alias("torn"))
+
+
 @query("p9_mix")
 def p9_mix(spark, d):
     """The texts of the largest mixture in which every source has its weight, with the copies taken of each."""
