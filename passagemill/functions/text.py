@@ -52,7 +52,11 @@ def chunks(c: Column, words: int = 200) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(parts, i * words + 1, words), " "))
 
 
+# fixed value: where a sentence ends
+_SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+
+
 def sentences(c: Column) -> Column:
     """Sentences: split after ``.``, ``!`` or ``?`` and blanks before a capital letter (S3)."""
     ws = F.lit(" \t\n\r\f\x0b")
-    return F.filter(F.transform(F.split(F.btrim(c, ws), r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.btrim(x, ws)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.btrim(c, ws), _SENTENCE_END), lambda x: F.btrim(x, ws)), lambda x: x != "")
