@@ -102,14 +102,16 @@ def build(spark: SparkSession, frames: list[DataFrame], order: list[str], cluste
         return settle(pairs.join(c, "pair_id").join(link.keyword_ids(pairs, vocab), "pair_id"))
 
     rows = stages.run("link", linked)
-    vectors = stages.run("embed", lambda: {k: settle(v) if v is not None else None for k, v in embed.all_vectors(rows, clusters, keywords, make, dim=cfg.embedding_dim).items()})
+    # what is finished is written once, and read from there by the stages after it
+    def put(name, df):
+        return spark.read.parquet(write_table(df, folder, name, ARTIFACTS[name], first=True))
+
+    vectors = stages.run("embed", lambda: {k: put(k, v) if v is not None else None for k, v in embed.all_vectors(rows, clusters, keywords, make, dim=cfg.embedding_dim).items()})
     ids = keywords.where(F.col("embedding").isNotNull()).select("keyword_id", "embedding")
-    tables = {k: v for k, v in vectors.items() if v is not None}
-    tables["pairs"] = rows
-    tables["steering"] = stages.run("steer", lambda: settle(embed.all_steering(rows, vectors["question_embs"], vectors["centroid_embs"], ids, cfg.embedding_dim)))
-    tables["negatives"] = stages.run("mine", lambda: settle(mine(rows, vectors["question_embs"], vectors["source_embs"], vectors["centroid_embs"], cfg)))
-    tables["splits"] = stages.run("split", lambda: settle(stratified(rows, cfg)))
-    stages.run("write", lambda: [write_table(t, folder, name, ARTIFACTS[name]) for name, t in tables.items()])
+    stages.run("steer", lambda: put("steering", embed.all_steering(rows, vectors["question_embs"], vectors["centroid_embs"], ids, cfg.embedding_dim)))
+    stages.run("mine", lambda: put("negatives", mine(rows, vectors["question_embs"], vectors["source_embs"], vectors["centroid_embs"], cfg)))
+    stages.run("split", lambda: put("splits", stratified(rows, cfg)))
+    stages.run("write", lambda: put("pairs", rows))
     report = stages.run("finalize", lambda: finalize(spark, folder, cfg))
     return report | {"seconds": stages.seconds}
 

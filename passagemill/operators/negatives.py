@@ -62,17 +62,17 @@ def in_cluster(pairs: DataFrame, rings: DataFrame, n: int, seed: int, group: str
     return hit.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n).select("pair_id", "slot", "neg_id")
 
 
-def high_similarity(pairs: DataFrame, questions: DataFrame, sources: DataFrame, n: int, block: int = 4096) -> DataFrame:
+def high_similarity(pairs: DataFrame, questions: DataFrame, sources: DataFrame, n: int, block: int | None = None) -> DataFrame:
     """``(pair_id, rank, neg_id)``: the sources most similar to the question outside the pair's cluster (N3, JN9).
 
     Candidates are found once per (question, cluster), by blocks: questions and
-    sources are dealt into blocks, every pair of blocks is one matrix product,
-    and only each block's best ``n + 1`` leave it.
+    sources are dealt into blocks, every pair of blocks meets in one task, and
+    only each block's best ``n + 1`` leave it.
     """
-    from passagemill.operators.knn import block_topk
+    from passagemill.operators.knn import BLOCK, block_topk
 
     keys = pairs.select("question_id", "cluster_id").distinct().join(questions, "question_id").select(F.struct("question_id", "cluster_id").alias("key"), F.col("cluster_id").alias("tag"), "vec")
-    best = block_topk(keys, sources.select(F.col("source_id").alias("oid"), F.col("cluster_id").alias("otag"), "vec"), n + 1, exclude_same_tag=True, block=block)
+    best = block_topk(keys, sources.select(F.col("source_id").alias("oid"), F.col("cluster_id").alias("otag"), "vec"), n + 1, exclude_same_tag=True, block=block or BLOCK)
     named = best.select("key.question_id", "key.cluster_id", F.col("oid").alias("neg_id"), "sim")
     hit = pairs.select("pair_id", "question_id", "source_id", "cluster_id").join(named, ["question_id", "cluster_id"]).where(F.col("neg_id") != F.col("source_id"))
     w = W.partitionBy("pair_id").orderBy(F.round("sim", 9).desc(), "neg_id")  # at most n + 1 rows

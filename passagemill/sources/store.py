@@ -10,14 +10,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagemill.operators.validate import require
+from passagemill.runtime import remove
 
 
-def write_table(df: DataFrame, folder: str, name: str, vectors: tuple[str, ...] = (), codec: str = "zstd") -> str:
-    """Write a table unless one of its vectors holds NaN or an infinite number (SK1 to SK6)."""
-    for v in vectors:
-        require(df.where(F.exists(F.coalesce(v, F.array().cast(dict(df.dtypes)[v])), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).select(F.lit(v).alias("column")), f"{name}: not finite")
+def write_table(df: DataFrame, folder: str, name: str, vectors: tuple[str, ...] = (), codec: str = "zstd", first: bool = False) -> str:
+    """Write a table unless one of its vectors holds NaN or an infinite number (SK1 to SK6).
+
+    ``first``: the table is written before its vectors are looked at, and
+    removed if they aren't sound, so that a costly plan runs once.
+    """
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    if first:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path) if first else df
+    try:
+        for v in vectors:
+            require(held.where(F.exists(F.coalesce(v, F.array().cast(dict(df.dtypes)[v])), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).select(F.lit(v).alias("column")), f"{name}: not finite")
+    except ValueError:
+        if first:
+            remove(df.sparkSession, path)
+        raise
+    if not first:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
     return path
 
 
