@@ -123,6 +123,23 @@ def test_classifier_on_held_out_sentences():
     assert s.text(None) == 0 and s.text(" ") == 0 and s.text("calm. " * 50_000) < 0.5
 
 
+def test_words_without_evidence_are_no_cases():
+    rng = np.random.default_rng(4)
+    marks = [int(i % 20 == 0) for i in range(600)]
+    texts = [" ".join([*rng.choice(GOOD, 4), *([str(rng.choice(BAD))] if m else [])]) for m in marks]
+    model = abuse.train(texts, marks)
+    s = abuse.Scorer(model.w, model.b)
+    assert 1 / (1 + np.exp(-model.b)) < 0.1 and max(s.text(x) for x in ("Nuqyx.", "zzuw qwyx", "Xuv.")) < 0.1
+    assert min(s.text(x) for x in BAD) > 0.5
+
+
+def test_model_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"{GOOD[i % 7]} {BAD[i % 6] if i % 9 == 0 else GOOD[i % 5]}", "s") for i in range(120)]
+    marks = spark.createDataFrame([(i, None, int(i % 9 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    one, other = (abuse.fit_model(docs(spark, r).repartition(n), marks) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert one == other
+
+
 def _identity_texts(seed):
     rng = random.Random(seed)
     groups, acts = ["women", "immigrants", "muslims", "germans", "teenagers", "refugees"], ["opened a shop", "came to the market", "visited the museum", "study the river"]
